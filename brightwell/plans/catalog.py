@@ -1,6 +1,6 @@
-"""All queries of the reference's operators, with the same in DuckDB SQL."""
+"""All queries outside the corpus operators, with the same in DuckDB SQL."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from . import chat_queries, detection_queries, graph_queries, io_queries, layout_queries, metric_queries, vector_queries  # noqa: F401
+from .registry import ORACLE_SQL, QUERIES  # noqa: F401
