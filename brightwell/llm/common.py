@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import os
+import sys
 import tempfile
 import uuid
 from contextlib import contextmanager
@@ -131,3 +132,11 @@ def paused_gc():
     finally:
         if on:
             gc.enable()
+
+
+def worker_held(key, make):
+    """What make() gave for the key first in this Python worker; it lives as long as the worker, across its tasks."""
+    store = sys.modules["pyarrow"].__dict__.setdefault("_held_by_worker", {})
+    if key not in store:
+        store[key] = make()
+    return store[key]

@@ -8,6 +8,7 @@ index of the blocks. Files are read in parallel; blocks are independent.
 
 from __future__ import annotations
 
+import hashlib
 import os
 import re
 import struct
@@ -20,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import open_bytes, paused_gc, put_bytes, scratch, written
+from .common import open_bytes, paused_gc, put_bytes, scratch, worker_held, written
 from .rans import Coder, Table
 
 FILE_MAGIC, END_MAGIC = b"TOKRANS1", b"TOKREND1"
@@ -96,7 +97,8 @@ def tokenize(documents: DataFrame, tokenizer_path: str, end_id: int = END_ID) ->
     end = struct.pack("<H", end_id)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = WordTokenizer(data.value)
+        text = data.value
+        tokenizer = worker_held(("word tokenizer", hashlib.sha256(text.encode()).digest()), lambda: WordTokenizer(text))
         for b in batches:
             with paused_gc():
                 ids = [tokenizer.ids(t) + end if t else end for t in b.column(1).to_pylist()]
@@ -111,10 +113,7 @@ def frequencies(tokens: DataFrame) -> Table:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(1 << 16, dtype=np.int64)
         for b in batches:
-            for ids in b.column(0).to_pylist():
-                counts += np.bincount(np.frombuffer(ids, "<u2"), minlength=1 << 16) if len(ids) > 1 << 14 else 0
-                if len(ids) <= 1 << 14:
-                    np.add.at(counts, np.frombuffer(ids, "<u2"), 1)
+            counts += np.bincount(np.frombuffer(b"".join(b.column(0).to_pylist()), "<u2"), minlength=1 << 16)
         used = np.nonzero(counts)[0]
         yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(counts[used])], names=["id", "n"])
 
