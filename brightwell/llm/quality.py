@@ -163,7 +163,7 @@ def training_labels(labels: DataFrame) -> DataFrame:
 def classify(documents: DataFrame, labels: DataFrame) -> DataFrame:
     """Fit on the labels outside the held-out quarter and score every document."""
     model = fit(documents, training_labels(labels))
-    return score(documents, model).withColumn("held_out", F.crc32(F.col("doc_id").cast("string")) % 4 == 2)
+    return score(documents, model).withColumn("held_out", F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False)))
 
 
 def accepted(documents: DataFrame, labels: DataFrame) -> DataFrame:
