@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 
 def read_events(spark: SparkSession, folder: str, schema, *, files_per_trigger: int = 8) -> DataFrame:
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(folder)
+    """A stream of the files of a folder. Watermarks need an instant, so ts without a zone is read in the session's."""
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(folder).withColumn("ts", F.col("ts").cast("timestamp"))
 
 
 def windowed_counts(events: DataFrame, *, window: str = "1 hour", slide: str | None = None, late: str = "10 minutes") -> DataFrame:
