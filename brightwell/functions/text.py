@@ -12,7 +12,7 @@ GARBLE_SINGLE = 0.2
 GARBLE_SHORT = 0.5
 WORD_RUN = r"[\p{L}\p{Nl}\p{No}]{3,}"
 LONG_ALNUM = r"[A-Za-z0-9]{5,}"
-PUNCT_RUN = r"[^\p{L}\p{N}\p{M}_\s]{2,}"
+PUNCT_RUN = r"[^\p{L}\p{N}_\s]{2,}"
 PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
 # Labels of regions.

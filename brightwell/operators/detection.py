@@ -196,3 +196,74 @@ def ink_regions(pages: DataFrame, settings: dict = INK) -> DataFrame:
             yield pd.DataFrame(rows, columns=["page_id", "x0", "y0", "x1", "y1"])
 
     return pages.select("page_id", "h", "w", "gray", "erase").mapInPandas(run, "page_id bigint, x0 int, y0 int, x1 int, y1 int")
+
+
+def segment_boxes(points: DataFrame, width: float, height: float) -> DataFrame:
+    """(image_id, seg_id, x1, y1, x2, y2): the box of each segment's points inside the image; zeros if none is."""
+    inside = (F.col("x") >= 0) & (F.col("y") >= 0) & (F.col("x") <= width) & (F.col("y") <= height)
+    at = lambda c: F.when(inside, F.col(c))
+    zero = F.lit(0.0)
+    return points.groupBy("image_id", "seg_id").agg(F.coalesce(F.min(at("x")), zero).alias("x1"), F.coalesce(F.min(at("y")), zero).alias("y1"), F.coalesce(F.max(at("x")), zero).alias("x2"), F.coalesce(F.max(at("y")), zero).alias("y2"))
+
+
+def resample_segments(points: DataFrame, n: int) -> DataFrame:
+    """(image_id, seg_id, i, x, y): n points evenly spaced by index along each closed segment. points: image_id, seg_id, ord from 0, x, y."""
+    from .metrics import interpolate
+
+    keys = ["image_id", "seg_id"]
+    sizes = points.groupBy(*keys).agg(F.count(F.lit(1)).alias("m"))
+    first = points.where("ord = 0").join(sizes, keys).select(*keys, F.col("m").alias("ord"), "x", "y")
+    closed = points.select(*keys, F.col("ord").cast("bigint").alias("ord"), "x", "y").unionByName(first)
+    grid = sizes.select(*keys, "m", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("i")).select(*keys, "i", (F.col("i") * F.col("m") / F.lit(float(n - 1))).alias("at"))
+    read = lambda c: interpolate(closed.select(*keys, F.col("ord").cast("double").alias("x"), F.col(c).alias("y"), "ord"), grid.select(*keys, "at"), keys).withColumnRenamed("value", c)
+    return grid.join(read("x"), [*keys, "at"]).join(read("y"), [*keys, "at"]).select(*keys, "i", "x", "y")
+
+
+def with_given_labels(dets: DataFrame, labels: DataFrame) -> DataFrame:
+    """Candidates with known boxes added at confidence 1. labels: image_id, det_id, x1..y2, cls."""
+    return dets.unionByName(labels.withColumn("conf", F.lit(1.0)))
+
+
+def concat_stages(*stages: DataFrame) -> DataFrame:
+    """Detections of several stages, scales or models, duplicates kept."""
+    out = stages[0]
+    for s in stages[1:]:
+        out = out.unionByName(s)
+    return out
+
+
+def clip_scale_tails(preds: DataFrame, layers: int = 3) -> DataFrame:
+    """Without the last layer's cells of the first scale and the first layer's of the last. preds: image_id, scale, cell, ..
+
+    Layer k has four times the cells of layer k + 1, by cell number.
+    """
+    total = sum(4**k for k in range(layers))
+    n = F.count(F.lit(1)).over(W.partitionBy("image_id", "scale"))
+    top = F.max("scale").over(W.partitionBy("image_id"))
+    rows = preds.withColumn("n_", n).withColumn("top_", top)
+    head, tail = F.floor(F.col("n_") / total), F.floor(F.col("n_") / total) * 4 ** (layers - 1)
+    keep = F.when(F.col("scale") == 0, F.col("cell") < F.col("n_") - head).when(F.col("scale") == F.col("top_"), F.col("cell") >= tail).otherwise(True)
+    return rows.where(keep).drop("n_", "top_")
+
+
+def shift_masks(pixels: DataFrame, dx: int, dy: int, width: int, height: int) -> DataFrame:
+    """Mask pixels (.., y, x) moved by an offset and cut at the frame."""
+    moved = pixels.withColumn("x", F.col("x") + dx).withColumn("y", F.col("y") + dy)
+    return moved.where((F.col("x") >= 0) & (F.col("x") < width) & (F.col("y") >= 0) & (F.col("y") < height))
+
+
+def order_anchors(anchors: DataFrame) -> DataFrame:
+    """Anchors (layer, a, w, h, stride) with layers reversed if mean area falls as the stride rises."""
+    by = anchors.groupBy("layer").agg(F.avg(F.col("w") * F.col("h")).alias("area"), F.max("stride").alias("stride"))
+    ends = by.agg(F.min_by("area", "layer").alias("a0"), F.max_by("area", "layer").alias("a1"), F.min_by("stride", "layer").alias("s0"), F.max_by("stride", "layer").alias("s1"), F.max("layer").alias("top"))
+    wrong = (F.col("a1") - F.col("a0")) * (F.col("s1") - F.col("s0")) < 0
+    fixed = anchors.select("layer", "a", "w", "h").join(F.broadcast(ends)).select(F.when(wrong, F.col("top") - F.col("layer")).otherwise(F.col("layer")).alias("layer"), "a", "w", "h")
+    return fixed.join(by.select("layer", "stride"), "layer")
+
+
+def matching_shapes(mine: DataFrame, other: DataFrame, exclude: tuple[str, ...] = ()) -> DataFrame:
+    """Rows of mine (name, shape, ..) whose name is in other with the same shape, without names that contain an excluded part."""
+    out = mine.join(other.select("name", "shape"), ["name", "shape"], "left_semi")
+    for part in exclude:
+        out = out.where(~F.contains("name", F.lit(part)))
+    return out

@@ -221,9 +221,82 @@ def mask_iou(spark, sf):
     return rounded(detection.mask_iou(m, m))
 
 
-@query()
+@query("SELECT s_suppkey AS page_id, 0 AS x0, (20 + s_suppkey % 20)::INTEGER AS y0, 40 AS x1, (30 + s_suppkey % 20)::INTEGER AS y1 FROM supplier")
 def ink_regions(spark, sf):
-    """A page for each supplier with two blobs, one of them erased."""
+    """A page with a blob for each supplier."""
     rows = read(spark, sf, "supplier").select(F.col("s_suppkey").alias("page_id"), F.lit(100).alias("h"), F.lit(80).alias("w"), (20 + F.col("s_suppkey") % 20).cast("int").alias("y"))
     blob = F.concat_ws("", F.transform(F.sequence(F.lit(0), F.lit(99)), lambda r: F.when((r >= F.col("y")) & (r < F.col("y") + 10), F.lit("FF" * 10 + "00" * 30 + "FF" * 40)).otherwise(F.lit("FF" * 80))))
     return detection.ink_regions(rows.select("page_id", "h", "w", F.unhex(blob).alias("gray"), F.expr("cast(array() as array<array<double>>)").alias("erase")))
+
+
+_POINTS = "SELECT l_orderkey AS image_id, 0 AS seg_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) - 1 AS ord, (l_partkey % 120 - 10)::DOUBLE AS x, (l_suppkey % 70 - 5)::DOUBLE AS y FROM {lines}"
+
+
+def _points(spark, sf):
+    from pyspark.sql import Window as W
+
+    from .metric_queries import lines
+
+    place = F.row_number().over(W.partitionBy("l_orderkey").orderBy("l_linenumber")) - 1
+    return lines(spark, sf).select(F.col("l_orderkey").alias("image_id"), F.lit(0).alias("seg_id"), place.alias("ord"), (F.col("l_partkey") % 120 - 10).cast("double").alias("x"), (F.col("l_suppkey") % 70 - 5).cast("double").alias("y"))
+
+
+def _points_sql() -> str:
+    from .metric_queries import LINES
+
+    return _POINTS.format(lines=LINES)
+
+
+_INSIDE = "x >= 0 AND y >= 0 AND x <= 100 AND y <= 60"
+
+
+@query(f"SELECT image_id, seg_id, coalesce(min(x) FILTER ({_INSIDE}), 0) AS x1, coalesce(min(y) FILTER ({_INSIDE}), 0) AS y1, coalesce(max(x) FILTER ({_INSIDE}), 0) AS x2, coalesce(max(y) FILTER ({_INSIDE}), 0) AS y2 FROM ({_points_sql()}) GROUP BY 1, 2")
+def segment_boxes(spark, sf):
+    return detection.segment_boxes(_points(spark, sf), 100, 60)
+
+
+@query(
+    f"""WITH p AS ({_points_sql()}), m AS (SELECT image_id, count(*) AS m FROM p GROUP BY 1), c AS (SELECT image_id, ord, x, y FROM p UNION ALL SELECT image_id, m, x, y FROM p JOIN m USING (image_id) WHERE ord = 0),
+    g AS (SELECT image_id, i, i * m / 8.0::DOUBLE AS pos FROM m, (SELECT unnest(range(9)) AS i))
+    SELECT g.image_id, 0 AS seg_id, i::INTEGER AS i, round(a.x + (coalesce(b.x, a.x) - a.x) * (pos - a.ord), 6) AS x, round(a.y + (coalesce(b.y, a.y) - a.y) * (pos - a.ord), 6) AS y
+    FROM g JOIN c a ON a.image_id = g.image_id AND a.ord = floor(pos) LEFT JOIN c b ON b.image_id = g.image_id AND b.ord = floor(pos) + 1"""
+)
+def resample_segments(spark, sf):
+    return rounded(detection.resample_segments(_points(spark, sf), 9))
+
+
+@query(f"SELECT image_id, det_id, cls, round(conf, 6) AS conf FROM ({DETS}) UNION ALL SELECT image_id, truth_id, cls, 1.0 FROM ({TRUTHS}) UNION ALL SELECT image_id, det_id, cls, round(conf, 6) FROM ({DETS}) WHERE conf > 0.9")
+def joined_candidates(spark, sf):
+    d = dets(spark, sf)
+    given = detection.with_given_labels(d, truths(spark, sf).withColumnRenamed("truth_id", "det_id"))
+    return rounded(detection.concat_stages(given, d.where("conf > 0.9")).select("image_id", "det_id", "cls", "conf"))
+
+
+_CELLS = "SELECT p_partkey % 5 AS image_id, p_partkey // 5 % 3 AS scale, row_number() OVER (PARTITION BY p_partkey % 5, p_partkey // 5 % 3 ORDER BY p_partkey) - 1 AS cell, p_partkey FROM part"
+
+
+@query(f"WITH c AS (SELECT *, count(*) OVER (PARTITION BY image_id, scale) // 21 AS g, count(*) OVER (PARTITION BY image_id, scale) AS n FROM ({_CELLS})) SELECT image_id, scale, cell, p_partkey FROM c WHERE CASE scale WHEN 0 THEN cell < n - g WHEN 2 THEN cell >= g * 16 ELSE TRUE END")
+def clip_scale_tails(spark, sf):
+    from pyspark.sql import Window as W
+
+    k = F.col("p_partkey")
+    rows = read(spark, sf, "part").select((k % 5).alias("image_id"), (F.floor(k / 5) % 3).alias("scale"), "p_partkey")
+    return detection.clip_scale_tails(rows.withColumn("cell", (F.row_number().over(W.partitionBy("image_id", "scale").orderBy("p_partkey")) - 1).cast("bigint")))
+
+
+@query(f"WITH {_MASKS} SELECT image_id, det_id, y + 3 AS y, x + 2 AS x FROM m WHERE x + 2 < 20 AND y + 3 < 20")
+def shift_masks(spark, sf):
+    return detection.shift_masks(_masks(spark, sf), 2, 3, 20, 20)
+
+
+@query("SELECT 2 - p_partkey % 3 AS layer, p_partkey AS a, (10 * (3 - p_partkey % 3))::DOUBLE AS w, 5.0::DOUBLE AS h, 8 * (3 - p_partkey % 3) AS stride FROM part")
+def order_anchors(spark, sf):
+    k = F.col("p_partkey") % 3
+    return detection.order_anchors(read(spark, sf, "part").select(k.alias("layer"), F.col("p_partkey").alias("a"), (10 * (3 - k)).cast("double").alias("w"), F.lit(5.0).alias("h"), (8 * (k + 1)).alias("stride")))
+
+
+@query("SELECT p_name AS name, p_size::VARCHAR AS shape FROM part WHERE p_partkey % 2 = 0 AND p_size < 40 AND NOT contains(p_name, '7')")
+def matching_shapes(spark, sf):
+    part = read(spark, sf, "part").select("p_partkey", F.col("p_name").alias("name"), F.col("p_size").cast("string").alias("shape"), "p_size")
+    other = part.where("p_partkey % 2 = 0 AND p_size < 40")
+    return detection.matching_shapes(part.where("p_partkey % 2 = 0").select("name", "shape"), other, ("7",))

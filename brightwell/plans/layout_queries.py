@@ -46,7 +46,7 @@ _TOK = "list_filter(regexp_split_to_array(line, '[\\s\\x{00A0}\\x{2000}-\\x{200A
 @query(
     f"""WITH s AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos FROM documents), t AS (SELECT doc_id, pos, {_TOK} AS ts FROM s),
     n AS (SELECT doc_id, pos, len(ts)::DOUBLE AS n, len(list_filter(ts, lambda x: regexp_matches(x, '[\\p{{L}}\\p{{Nl}}\\p{{No}}]{{3,}}') OR regexp_matches(x, '[A-Za-z0-9]{{5,}}'))) AS wordy, len(list_filter(ts, lambda x: regexp_matches(trim(x, '{_PUNCT}'), '^[\\p{{L}}\\p{{N}}]$'))) AS single,
-        len(list_filter(ts, lambda x: length(trim(x, '{_PUNCT}')) <= 2)) AS short, len(list_filter(ts, lambda x: regexp_matches(x, '[^\\p{{L}}\\p{{N}}\\p{{M}}_\\s]{{2,}}'))) > 0 AS broken FROM t)
+        len(list_filter(ts, lambda x: length(trim(x, '{_PUNCT}')) <= 2)) AS short, len(list_filter(ts, lambda x: regexp_matches(x, '[^\\p{{L}}\\p{{N}}_\\s]{{2,}}'))) > 0 AS broken FROM t)
     SELECT doc_id, pos::INTEGER AS pos, n >= 4 AND wordy / n < 0.5 AND (single / n >= 0.2 OR short / n >= 0.5 OR broken) AS garbled FROM n"""
 )
 def garble_flags(spark, sf):
@@ -228,7 +228,10 @@ def expand_cells(spark, sf):
     return rounded(layout.expand_cells(e, pads).select("ref", "t", "b"))
 
 
-@query()
+@query(
+    f"""WITH e AS ({ELEMENTS}), b AS (SELECT page_no, string_agg(text, ' ' ORDER BY text) AS whole FROM e GROUP BY 1), m AS (SELECT ref, count(*) OVER (PARTITION BY page_no) AS n, row_number() OVER (PARTITION BY page_no ORDER BY ord) AS k FROM e WHERE label = 'text' AND kind = 'text')
+    SELECT doc_id, page_no, ref, CASE WHEN n >= 2 THEN whole ELSE text END AS text FROM e JOIN b USING (page_no) LEFT JOIN m USING (ref) WHERE n IS NULL OR n < 2 OR k = 1"""
+)
 def coalesce_blocks(spark, sf):
     """Each page's first block holds all numbers of its texts."""
     e = elements(spark, sf)
@@ -236,7 +239,10 @@ def coalesce_blocks(spark, sf):
     return layout.coalesce_blocks(e, blocks).select("doc_id", "page_no", "ref", "text")
 
 
-@query()
+@query(
+    """SELECT 'd' AS doc_id, s_suppkey::INTEGER AS page_no, '#/t/0' AS ref, 0 AS col, s_name || ' left side' AS text, 10.0::DOUBLE AS l, 10.0::DOUBLE AS t, 90.0::DOUBLE AS r, 20.0::DOUBLE AS b FROM supplier
+    UNION ALL SELECT 'd', s_suppkey::INTEGER, '#/t/0', 1, s_name || ' right', 200.0, 10.0, 290.0, 20.0 FROM supplier"""
+)
 def split_columns(spark, sf):
     """Texts of two lines in two columns of a page for each supplier."""
     s = read(spark, sf, "supplier").select(F.lit("d").alias("doc_id"), F.col("s_suppkey").cast("int").alias("page_no"), F.col("s_name").alias("name"))
@@ -266,9 +272,10 @@ def fill_table_cells(spark, sf):
     return layout.fill_cells(cells, layout.html_grids(html))
 
 
-@query()
+@query("SELECT page_id::VARCHAR AS table_ref, len(regexp_extract_all(html, '(?i)<tr[ >]')) AS n_rows FROM pages")
 def html_outline(spark, sf):
-    return layout.html_grids(read(spark, sf, "pages").select(F.col("page_id").cast("string").alias("table_ref"), "html"))
+    grids = layout.html_grids(read(spark, sf, "pages").select(F.col("page_id").cast("string").alias("table_ref"), "html"))
+    return grids.select("table_ref", F.size("grid").cast("bigint").alias("n_rows"))
 
 
 @query("SELECT p_partkey, 'title' AS label, 0.0::DOUBLE AS l, 1.0::DOUBLE AS r, round(p_size / 999.0::DOUBLE, 6) AS b, p_name AS text FROM part UNION ALL SELECT p_partkey, 'text', round(5 / 999.0::DOUBLE, 6), round(500.5 / 999.0::DOUBLE, 6), 1.0, p_brand FROM part")
