@@ -99,16 +99,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Letters beyond ASCII that lower() changes are of these kinds; Cn are those newer than the regex's Unicode.
+OTHER_CAPITALS = r"[\p{Lu}\p{Lt}\p{Nl}\p{So}\p{Cn}&&[^A-Z]]"
+
+
 def ascii_lower(text: Column) -> Column:
     """A-Z to a-z and nothing else, JVM-side.
 
-    Texts of single bytes take lower(); in others each capital letter is
+    lower() does it where there are no other capitals; else each letter is
     replaced by itself, which is faster than translate() by character.
     """
     slow = text
     for a, b in zip(UPPER, LOWER):
         slow = F.replace(slow, F.lit(a), F.lit(b))
-    return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(slow)
+    plain = (F.octet_length(text) == F.char_length(text)) | ~F.rlike(text, F.lit(OTHER_CAPITALS))
+    return F.when(plain, F.lower(text)).otherwise(slow)
 
 
 #: Ids (8 bytes each) up to this number are broadcast in anti_by_id; beyond it the rows are shuffled by id.

@@ -28,12 +28,14 @@ def _lines(text: Column) -> Column:
 def occurrences(documents: DataFrame, *, min_chars: int = MIN_CHARS) -> DataFrame:
     """doc_id, pos, h1, h2: the lines whose key is long enough, under 128 bits of hash.
 
-    Two 64-bit hashes of the key make a false match improbable for up to
-    about 2^60 different lines.
+    Two 64-bit hashes of the key under different seeds make a false match
+    improbable for up to about 2^60 different lines.
     """
     lines = documents.where(F.char_length("text") >= min_chars).select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
-    keyed = lines.where(F.char_length("line") >= min_chars).select("doc_id", "pos", line_key(F.col("line")).alias("k")).where(F.char_length("k") >= min_chars)
-    return keyed.select("doc_id", "pos", F.xxhash64("k").alias("h1"), F.xxhash64(F.lit("line"), F.reverse("k")).alias("h2"))
+    # Lower case does not change the length, so the filter needs no key.
+    long = lines.where((F.octet_length("line") >= min_chars) & (F.char_length(F.btrim("line", F.lit(ASCII_SPACE))) >= min_chars))
+    key = line_key(F.col("line"))
+    return long.select("doc_id", "pos", F.xxhash64(key).alias("h1"), F.xxhash64(F.lit("line"), key).alias("h2"))
 
 
 def dropped_positions(documents: DataFrame, *, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
@@ -63,7 +65,8 @@ def dedup_lines(documents: DataFrame, *, min_chars: int = MIN_CHARS, min_docs: i
     """
     documents = documents.drop("n_lines", "n_dropped", "drop")
     gone = written(dropped_positions(documents, min_chars=min_chars, min_docs=min_docs), "line-drops")
-    both = documents.join(gone, "doc_id", "left")
+    # A merge join at every size: what is dropped grows with the texts, and each id has one row on its side.
+    both = documents.join(gone.hint("merge"), "doc_id", "left")
     kept = F.filter(_lines(F.col("text")), lambda line, i: ~F.array_contains("drop", i))
     # Spark splits no text here that loses nothing.
     text = F.when(F.col("drop").isNull(), F.coalesce("text", F.lit(""))).otherwise(F.concat_ws("\n", kept))

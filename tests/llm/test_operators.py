@@ -198,6 +198,16 @@ def key(line):
     return line.strip(" \t\n\x0b\x0c\r").translate(UPPER)
 
 
+def test_ascii_lower(spark):
+    """Every character that str.lower() changes, alone and between others."""
+    from brightwell.llm.common import ascii_lower
+
+    chars = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000 and chr(c).lower() != chr(c)] + list("éßµ你😀ⅷ")
+    texts = [t for c in chars for t in (c, f"Ab{c}Z", f"{c} plain")]
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select("t", ascii_lower(F.col("t")).alias("x")).collect()
+    assert all(r["x"] == r["t"].translate(UPPER) for r in got) and len(got) == len(texts)
+
+
 def test_line_dedup(spark, odd_rows):
     rows = list(dict(odd_rows).items())
     holders = {}
