@@ -145,3 +145,15 @@ def worker_held(key, make):
     if key not in store:
         store[key] = make()
     return store[key]
+
+
+#: Rows and bytes of a batch that goes to a Python worker at once.
+BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
+
+
+def bounded_batches(df: DataFrame) -> DataFrame:
+    """The same frame, its session set to batches of at most BATCH_ROWS and BATCH_BYTES, which bound a worker's memory."""
+    conf = df.sparkSession.conf
+    conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    conf.set("spark.sql.execution.arrow.maxBytesPerBatch", f"{BATCH_BYTES}b")
+    return df

@@ -20,6 +20,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import bounded_batches
+
 SHINGLE, CONTAINMENT = 5, 0.8
 #: Characters of items that go out with a task at once; a larger benchmark is searched in blocks of items.
 BLOCK_CHARS = 16_000_000
@@ -130,7 +132,7 @@ def search(documents: DataFrame, benchmark: DataFrame, *, block_chars: int = BLO
                 rows = [(i, *m) for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) for m in index.matches(t)]
                 yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in range(4)], names=["doc_id", "item_id", "matched", "item_shingles"])
 
-        part = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, schema)
+        part = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").transform(bounded_batches).mapInArrow(run, schema)
         out = part if out is None else out.unionByName(part)
     return out.withColumn("containment", F.col("matched") / F.col("item_shingles"))
 
@@ -143,5 +145,5 @@ def clean(documents: DataFrame, benchmark: DataFrame, *, block_chars: int = BLOC
             for b in batches:
                 yield b.filter(pa.array([not index.matches(t) for t in b.column(b.schema.get_field_index("text")).to_pylist()], type=pa.bool_()))
 
-        documents = documents.mapInArrow(run, documents.schema)
+        documents = documents.transform(bounded_batches).mapInArrow(run, documents.schema)
     return documents

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_IDS, anti_by_id, scratch, written
+from .common import BROADCAST_IDS, anti_by_id, bounded_batches, scratch, written
 
 #: Entries of a memtable; at about 150 bytes each this bounds a worker's memory.
 MEMTABLE = 200_000
@@ -54,7 +54,7 @@ def flush_runs(documents: DataFrame, *, digest_bytes: int = 32, memtable: int =
 
     spark = documents.sparkSession
     path = scratch(spark, "exact-runs") + "/level0"
-    runs = documents.select(F.col("doc_id").cast("bigint"), F.encode("text", "UTF-8").alias("t")).mapInArrow(run, RUN)
+    runs = documents.select(F.col("doc_id").cast("bigint"), F.encode("text", "UTF-8").alias("t")).transform(bounded_batches).mapInArrow(run, RUN)
     runs.write.option("parquet.bloom.filter.enabled#digest", "true").option("parquet.bloom.filter.expected.ndv#digest", str(memtable)).parquet(path)
     return spark.read.schema(RUN).parquet(path)
 
@@ -121,7 +121,7 @@ def _collisions(documents: DataFrame, members: DataFrame, hits: DataFrame) -> Da
             rows = [(i, d, t) for i, d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), map(normalise, b.column(2).to_pylist())) if hashlib.sha256(t).digest().startswith(d)]
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.int64(), pa.binary(), pa.binary()))], names=["doc_id", "digest", "t"])
 
-    texts = docs.join(ids, docs["doc_id"].eqNullSafe(ids["doc_id"])).select(docs["doc_id"], "digest", F.encode("t", "UTF-8").alias("t")).mapInArrow(lower, "doc_id bigint, digest binary, t binary")
+    texts = docs.join(ids, docs["doc_id"].eqNullSafe(ids["doc_id"])).select(docs["doc_id"], "digest", F.encode("t", "UTF-8").alias("t")).transform(bounded_batches).mapInArrow(lower, "doc_id bigint, digest binary, t binary")
     unequal = written(texts.groupBy("digest").agg(F.min("t").alias("a"), F.max("t").alias("b")).where("a <> b").select("digest"), "exact-unequal")
     if unequal.isEmpty():
         return None

@@ -19,7 +19,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import bounded_batches, written
 
 #: predicted is 1 from this score on.
 ACCEPT = 0.7
@@ -152,7 +152,7 @@ def score(documents: DataFrame, model: QualityModel, *, id_col: str = "doc_id",
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(scores), pa.array((scores >= ACCEPT).astype(np.int32))], names=["id", "score", "predicted"])
 
     kind = documents.schema[id_col].dataType.simpleString()
-    return documents.select(F.col(id_col).alias("id"), F.encode(text_col, "UTF-8").alias("t")).mapInArrow(run, f"id {kind}, score double, predicted int").withColumnRenamed("id", id_col)
+    return documents.select(F.col(id_col).alias("id"), F.encode(text_col, "UTF-8").alias("t")).transform(bounded_batches).mapInArrow(run, f"id {kind}, score double, predicted int").withColumnRenamed("id", id_col)
 
 
 def training_labels(labels: DataFrame) -> DataFrame:
@@ -180,4 +180,4 @@ def accepted(documents: DataFrame, labels: DataFrame) -> DataFrame:
             texts = b.column(b.schema.get_field_index("text")).to_pylist()
             yield b.filter(pa.array([of(t.encode() if t else b"") >= ACCEPT for t in texts], type=pa.bool_()))
 
-    return documents.mapInArrow(run, schema)
+    return documents.transform(bounded_batches).mapInArrow(run, schema)

@@ -13,7 +13,6 @@ from __future__ import annotations
 import hashlib
 import math
 import re
-import sys
 from collections.abc import Iterator
 
 import ahocorasick
@@ -21,11 +20,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import paused_gc
+from .common import bounded_batches, paused_gc, worker_held
 
 SPACE = "▁"
 #: Segments kept with their ids in a worker, and their characters at most; the memo starts anew beyond.
-MEMO, MEMO_CHARS = 500_000, 64
+MEMO, MEMO_CHARS = 300_000, 64
 
 
 def _proto(data: bytes) -> Iterator[tuple[int, object]]:
@@ -157,7 +156,7 @@ class PieceModel:
                 i += 1
             else:
                 j += 1
-        if len(self._pairs) > 1_000_000:
+        if len(self._pairs) > 600_000:
             self._pairs.clear()
         self._pairs[left << 20 | right] = ok
         return ok
@@ -280,11 +279,7 @@ def _utf8(run: bytes) -> str:
 
 def _held(data: bytes) -> tuple[PieceModel, dict[str, list[int]]]:
     """The model and memo of this worker; they live as long as it does."""
-    store = sys.modules[pa.__name__].__dict__.setdefault("_piece_models", {})
-    key = hashlib.sha256(data).digest()
-    if key not in store:
-        store[key] = (PieceModel(data), {})
-    return store[key]
+    return worker_held(("piece model", hashlib.sha256(data).digest()), lambda: (PieceModel(data), {}))
 
 
 def encode_decode(documents: DataFrame, model_path: str) -> DataFrame:
@@ -330,4 +325,4 @@ def _run(documents: DataFrame, model_path: str, schema: str, make, kinds: tuple,
                     rows.append(make(ids, decode(ids), t or ""))
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds))], names=["doc_id", *names])
 
-    return documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, f"doc_id bigint, {schema}")
+    return documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").transform(bounded_batches).mapInArrow(run, f"doc_id bigint, {schema}")

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import anti_by_id, written
+from .common import anti_by_id, bounded_batches, written
 from .components import components
 
 SEED = 42
@@ -64,7 +64,7 @@ def fingerprints(documents: DataFrame, *, shingle: int = 3, id_col: str = "doc_i
             fps = np.array([fingerprint(t or b"", shingle) for t in b.column(1).to_pylist()], dtype=np.uint64)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view(np.int64))], names=["doc_id", "fp"])
 
-    return documents.select(F.col(id_col).cast("bigint").alias("doc_id"), F.encode(text_col, "UTF-8").alias("t")).mapInArrow(run, "doc_id bigint, fp bigint")
+    return documents.select(F.col(id_col).cast("bigint").alias("doc_id"), F.encode(text_col, "UTF-8").alias("t")).transform(bounded_batches).mapInArrow(run, "doc_id bigint, fp bigint")
 
 
 def golay_tables() -> tuple[np.ndarray, np.ndarray]:
@@ -111,9 +111,8 @@ def golay_keys(segment: np.ndarray, tables: tuple[np.ndarray, np.ndarray]) -> np
     return np.where(near < 0, -1, ((word[:, None] ^ near) >> 11) & 4095)
 
 
-def join_keys(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def join_keys(fps: np.ndarray, tables: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Row numbers and keys: 2 bits of segment number, the exact segment, and a Golay index of the next segment."""
-    tables = golay_tables()
     cut = [(fps >> np.uint64(at)) & np.uint64((1 << bits) - 1) for at, bits in SEGMENTS]
     rows, keys = [], []
     for k in range(3):
@@ -135,12 +134,13 @@ def links(nodes: DataFrame, *, pair_cap: int = PAIR_CAP) -> DataFrame:
     """
 
     def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tables = golay_tables()
         for b in batches:
             fps = b.column(1).to_numpy().view(np.uint64)
-            rows, keys = join_keys(fps)
+            rows, keys = join_keys(fps, tables)
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(rows)), b.column(1).take(pa.array(rows)), pa.array(keys)], names=["node", "fp", "key"])
 
-    keyed = nodes.select("node", "fp").mapInArrow(expand, "node bigint, fp bigint, key bigint")
+    keyed = nodes.select("node", "fp").transform(bounded_batches).mapInArrow(expand, "node bigint, fp bigint, key bigint")
     sizes = written(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "golay-sizes")
     shared = written(keyed.join(sizes, "key"), "golay-keys")
     few = shared.where(F.col("n") <= pair_cap)

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import open_bytes, paused_gc, put_bytes, scratch, worker_held, written
+from .common import bounded_batches, open_bytes, paused_gc, put_bytes, scratch, worker_held, written
 from .rans import Coder, Table
 
 FILE_MAGIC, END_MAGIC = b"TOKRANS1", b"TOKREND1"
@@ -104,7 +104,7 @@ def tokenize(documents: DataFrame, tokenizer_path: str, end_id: int = END_ID) ->
                 ids = [tokenizer.ids(t) + end if t else end for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(x) // 2 for x in ids], pa.int64()), pa.array(ids, pa.binary())], names=["doc_id", "n_tokens", "ids"])
 
-    return documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, TOKENS)
+    return documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").transform(bounded_batches).mapInArrow(run, TOKENS)
 
 
 def frequencies(tokens: DataFrame) -> Table:
@@ -117,7 +117,7 @@ def frequencies(tokens: DataFrame) -> Table:
         used = np.nonzero(counts)[0]
         yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(counts[used])], names=["id", "n"])
 
-    rows = tokens.select("ids").mapInArrow(run, "id int, n bigint").groupBy("id").agg(F.sum("n").alias("n")).collect()
+    rows = tokens.select("ids").transform(bounded_batches).mapInArrow(run, "id int, n bigint").groupBy("id").agg(F.sum("n").alias("n")).collect()
     counts = np.zeros(1 + max([r["id"] for r in rows], default=0), dtype=np.int64)
     for r in rows:
         counts[r["id"]] = r["n"]
@@ -230,7 +230,7 @@ def write(tokens: DataFrame, table: Table, folder: str, *, file_ids: int = FILE_
 
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     ranged = tokens.select("doc_id", "ids").repartitionByRange(parts, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "ids")
-    files = written(ranged.mapInArrow(run, FILES), "token-files")
+    files = written(ranged.transform(bounded_batches).mapInArrow(run, FILES), "token-files")
     # One row for each file of millions of ids: a single window over it is small.
     start = F.coalesce(F.sum("n_ids").over(W.orderBy("part", "seq").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     return files.withColumn("first_id", start)
@@ -259,7 +259,7 @@ def read(files: DataFrame, table_bytes: bytes) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in range(4)], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
     some = files.select("path", "first_id", "n_docs", "n_ids").repartition(max(1, int(spark.conf.get("spark.sql.shuffle.partitions"))), "path")
-    return some.mapInArrow(run, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
+    return some.transform(bounded_batches).mapInArrow(run, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
 
 
 def round_trip(documents: DataFrame, tokenizer_path: str, folder: str | None = None) -> DataFrame:
