@@ -75,8 +75,11 @@ def structural_features(adj: DataFrame, pairs: DataFrame) -> DataFrame:
 
     aa weighs a common neighbour by 1/ln(max(deg, 2)), ra by 1/max(deg, 1).
     Pairs without common neighbours keep their degrees; unknown nodes have 0.
+    The adjacency and the degrees are read several times and are persisted;
+    the session's clearCache() lets go of them.
     """
-    deg = degrees(adj)
+    adj = adj.persist()
+    deg = degrees(adj).persist()
     near = adj.select(F.col("src").alias("u"), F.col("dst").alias("k"), F.col("w").alias("wu"))
     far = adj.select(F.col("src").alias("v"), F.col("dst").alias("k"), F.col("w").alias("wv"))
     by = deg.select(F.col("id").alias("k"), F.col("deg").cast("double").alias("dk"))
@@ -109,7 +112,7 @@ def minhash(nodes: DataFrame, adj: DataFrame, *, hops: int = 2, family: Sequence
     family = hash_family(128) if family is None else family
     k = len(family)
     sig = nodes.select("id", *(affine(F.col("id"), a, b).alias(f"s0_{j}") for j, (a, b) in enumerate(family)))
-    links = adj.select("src", "dst")
+    links = adj.select("src", "dst").persist()  # read at each hop
     for hop in range(1, hops + 1):
         around = links.join(sig.select(F.col("id").alias("dst"), *(f"s{hop - 1}_{j}" for j in range(k))), "dst")
         least = around.groupBy(F.col("src").alias("id")).agg(*(F.min(f"s{hop - 1}_{j}").alias(f"m_{j}") for j in range(k)))
@@ -149,6 +152,7 @@ def normalized_adjacency(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 def diffuse(features: DataFrame, norm: DataFrame, hops: int = 2, *, checkpoint=None) -> list[DataFrame]:
     """[H, AH, ..., A^hops H] for features (id, numeric columns). checkpoint, if given, cuts lineage after each hop."""
     names = [c for c in features.columns if c != "id"]
+    norm = norm.persist()  # read at each hop
     out, now = [features], features
     for _ in range(hops):
         msg = norm.join(now.withColumnRenamed("id", "src"), "src")
@@ -188,6 +192,7 @@ def bfs_subgraph(adj: DataFrame, n: int, *, levels: int = 50, checkpoint=None) -
     they entered it. One round a level; a level is ranked by its nodes only,
     of which there are at most n that count.
     """
+    adj = adj.persist()  # read at each level
     seed = degrees(adj).orderBy(F.desc("deg"), "id").limit(1).select("id", F.lit(0).cast("bigint").alias("pos"))
     seen, level, have = seed, seed, 1
     for _ in range(levels):
@@ -237,6 +242,7 @@ def sample_hard_negatives(adj: DataFrame, n: int, *, seed: int = 1) -> DataFrame
     are nodes with neighbours, numbered by id.
     """
     (a, b), (c, d), (e, f) = hash_family(3, seed)
+    adj = adj.persist()
     numbered = adj.select("src", "dst", (F.row_number().over(W.partitionBy("src").orderBy("dst")) - 1).alias("nth"))
     deg = degrees(adj)
     order = deg.select("id", "deg", (F.row_number().over(W.orderBy("id")) - 1).alias("rank"))

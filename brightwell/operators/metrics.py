@@ -101,9 +101,10 @@ def interpolate(points: DataFrame, grid: DataFrame, keys: list[str]) -> DataFram
     """
     merged = points.select(*keys, "x", "y", "ord", F.lit(0).alias("q")).unionByName(grid.select(*keys, F.col("at").alias("x"), F.lit(None).cast("double").alias("y"), F.lit(None).cast("bigint").alias("ord"), F.lit(1).alias("q")))
     left = W.partitionBy(*keys).orderBy("x", "q", "ord").rowsBetween(W.unboundedPreceding, 0)
-    right = W.partitionBy(*keys).orderBy(F.asc("x"), F.desc("q"), F.asc("ord")).rowsBetween(0, W.unboundedFollowing)
+    # Backwards, as a frame to the end would be scanned anew for each row.
+    right = W.partitionBy(*keys).orderBy(F.desc("x"), F.asc("q"), F.desc("ord")).rowsBetween(W.unboundedPreceding, 0)
     point = F.when(F.col("q") == 0, F.struct("x", "y"))
-    both = merged.withColumn("l", F.last(point, ignorenulls=True).over(left)).withColumn("r", F.first(point, ignorenulls=True).over(right)).where("q = 1")
+    both = merged.withColumn("l", F.last(point, ignorenulls=True).over(left)).withColumn("r", F.last(point, ignorenulls=True).over(right)).where("q = 1")
     l, r = F.col("l"), F.col("r")
     value = (
         F.when(l.isNull(), r["y"]).when(r.isNull(), l["y"]).when(l["x"] == F.col("x"), l["y"])
@@ -117,7 +118,7 @@ def average_precision(curves: DataFrame, points: int = 101) -> DataFrame:
     ends = curves.select("cls").distinct()
     body = curves.select("cls", F.col("rank").cast("bigint").alias("ord"), F.col("recall").alias("x"), F.col("precision").alias("y"))
     padded = body.unionByName(ends.select("cls", F.lit(0).cast("bigint").alias("ord"), F.lit(0.0).alias("x"), F.lit(1.0).alias("y"))).unionByName(ends.select("cls", F.lit(1 << 62).alias("ord"), F.lit(1.0).alias("x"), F.lit(0.0).alias("y")))
-    envelope = padded.withColumn("y", F.max("y").over(W.partitionBy("cls").orderBy("ord").rowsBetween(0, W.unboundedFollowing)))
+    envelope = padded.withColumn("y", F.max("y").over(W.partitionBy("cls").orderBy(F.desc("ord")).rowsBetween(W.unboundedPreceding, 0)))
     grid = ends.select("cls", F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("i")).select("cls", (F.col("i") / F.lit(float(points - 1))).alias("at"))
     at = interpolate(envelope, grid, ["cls"])
     before = W.partitionBy("cls").orderBy("at")
