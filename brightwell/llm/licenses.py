@@ -100,6 +100,8 @@ def scan(documents: DataFrame, templates=TEMPLATES) -> DataFrame:
     everything = sorted({h for t in known for h in t["hashes"]})
     words = documents.select("doc_id", _words(F.col("text")).alias("words"))
     near = written(words.where(F.size("words") > 0).select("doc_id", "words", _hashes(F.col("words")).alias("hashes")).where(F.arrays_overlap("hashes", F.lit(everything))), "license-near")
+    # Few texts are left, wherever they lay; dealt anew, each task gets its share of windows.
+    near = near.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "doc_id")
     own: dict[int, set[int]] = {}
     for t in known:
         own.setdefault(len(t["hashes"]), set()).update(t["hashes"])
