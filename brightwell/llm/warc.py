@@ -17,7 +17,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_IDS, open_bytes, put_bytes, scratch, written
+from .common import BROADCAST_IDS, bounded_batches, open_bytes, put_bytes, scratch, written
 
 #: Payloads below this many bytes are stored each time.
 REVISIT_BYTES = 100
@@ -166,9 +166,11 @@ def revisits(known: DataFrame, *, least: int = REVISIT_BYTES) -> DataFrame:
 
 def train(pages: DataFrame) -> bytes:
     """A dictionary from the pages whose ids hash lowest; empty if there are too few."""
-    some = pages.where((F.octet_length("html") > 0) & (F.octet_length("html") <= SAMPLE_BYTES)).select("page_id", "html", F.xxhash64("page_id").alias("o"))
-    # ids first, so that only the sample's texts are sorted and moved
-    texts = [bytes(r["b"]) for r in some.orderBy("o", "page_id").limit(SAMPLE_PAGES).select(F.encode("html", "UTF-8").alias("b")).collect()]
+    small = pages.where((F.octet_length("html") > 0) & (F.octet_length("html") <= SAMPLE_BYTES)).withColumn("o", F.xxhash64("page_id"))
+    # Ids first, so that each task ranks ids and only the sample's texts move.
+    chosen = small.select("page_id", "o").orderBy("o", "page_id").limit(SAMPLE_PAGES).select("page_id").distinct()
+    texts = small.select("page_id", F.encode("html", "UTF-8").alias("b")).join(F.broadcast(chosen), "page_id").collect()
+    texts = [bytes(r["b"]) for r in sorted(texts, key=lambda r: (r["page_id"], bytes(r["b"])))]
     try:
         return zstandard.train_dictionary(DICT_BYTES, texts).as_bytes()
     except zstandard.ZstdError:
@@ -217,7 +219,7 @@ def write(pages: DataFrame, folder: str, *, least: int = REVISIT_BYTES, file_byt
             flush()
         yield pa.RecordBatch.from_arrays([pa.array([d[0] for d in done], pa.string()), *(pa.array([d[k] for d in done], pa.int64()) for k in (1, 2))], names=["path", "records", "bytes"])
 
-    return written(marked.mapInArrow(run, FILES), "warc-files")
+    return written(marked.transform(bounded_batches).mapInArrow(run, FILES), "warc-files")
 
 
 def read(files: DataFrame, *, payloads: bool = False) -> DataFrame:
@@ -247,7 +249,7 @@ def read(files: DataFrame, *, payloads: bool = False) -> DataFrame:
                 yield batch(rows)
 
     parts = max(1, int(files.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    return files.select("path", "records").repartition(parts, "path").mapInArrow(run, RECORDS + (", payload binary" if payloads else ""))
+    return files.select("path", "records").repartition(parts, "path").transform(bounded_batches).mapInArrow(run, RECORDS + (", payload binary" if payloads else ""))
 
 
 def round_trip(pages: DataFrame, folder: str | None = None) -> DataFrame:
