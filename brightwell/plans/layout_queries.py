@@ -309,6 +309,13 @@ def text_helpers(spark, sf):
     return d.select("doc_id", tx.safe_name(t).alias("safe"), tx.is_ascii(t).alias("ascii"), tx.has_chinese(t).alias("chinese"), F.element_at(F.split(t, F.lit(" de ")), -1).alias("tail"))
 
 
+@query("SELECT doc_id, regexp_replace(text, '[|@#!¡·$€%&()=?¿^*;:,¨´><+]', '_', 'g') AS safe, octet_length(encode(text)) = length(text) AS ascii, regexp_matches(text, '[一-鿿]') AS chinese, split_part(text, ' de ', -1) AS tail FROM documents")
+def text_helpers_whole(spark, sf):
+    """The helpers of text_helpers over whole texts."""
+    t = F.col("text")
+    return read(spark, sf, "documents").select("doc_id", tx.safe_name(t).alias("safe"), tx.is_ascii(t).alias("ascii"), tx.has_chinese(t).alias("chinese"), F.element_at(F.split(t, F.lit(" de ")), -1).alias("tail"))
+
+
 @query(f"WITH e AS ({ELEMENTS}), c AS (SELECT doc_id, page_no, sum(length(text)) AS n FROM e WHERE label <> 'formula' GROUP BY 1, 2) SELECT doc_id, page_no, n >= 12 AND page_no % 4 <> 0 AS digital FROM c")
 def skip_ocr(spark, sf):
     e = elements(spark, sf)
