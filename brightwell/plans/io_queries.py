@@ -10,6 +10,16 @@ from .registry import query, read, rounded
 
 # A training log made from order lines: a header for each third line, then a result.
 _LOG = "SELECT l_orderkey * 10 + l_linenumber AS ord, l_partkey, l_quantity, l_extendedprice FROM lineitem WHERE l_orderkey < 300 QUALIFY row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey, l_quantity, l_extendedprice) = 1"
+_WHOLE_LOG = _LOG.replace("WHERE l_orderkey < 300 ", "")
+
+
+def _log_lines(lineitem):
+    from pyspark.sql import Window as W
+
+    rows = lineitem.withColumn("k", F.row_number().over(W.partitionBy("l_orderkey", "l_linenumber").orderBy("l_partkey", "l_quantity", "l_extendedprice"))).where("k = 1")
+    ord_, q = F.col("l_orderkey") * 10 + F.col("l_linenumber"), F.col("l_quantity")
+    line = F.when(ord_ % 3 == 0, F.concat(F.lit("Hits@"), F.col("l_partkey") % 50)).otherwise(F.concat(F.lit("Run: 01, Epoch: "), (ord_ % 100), F.lit(", Loss: "), q, F.lit(", Learning Rate: 0.0010, Valid: "), q / 2, F.lit("%, Test: "), q / 4, F.lit("%")))
+    return rows.select(ord_.alias("ord"), line.alias("line"))
 
 
 @query(
@@ -17,12 +27,15 @@ _LOG = "SELECT l_orderkey * 10 + l_linenumber AS ord, l_partkey, l_quantity, l_e
     SELECT ord, 1 AS run, (ord % 100)::INTEGER AS epoch, l_quantity AS loss, 0.001::DOUBLE AS lr, l_quantity / 2 AS valid, l_quantity / 4 AS test, metric FROM h WHERE ord % 3 <> 0"""
 )
 def training_log(spark, sf):
-    from pyspark.sql import Window as W
+    return readers.training_log(_log_lines(read(spark, sf, "lineitem").where("l_orderkey < 300")))
 
-    rows = read(spark, sf, "lineitem").where("l_orderkey < 300").withColumn("k", F.row_number().over(W.partitionBy("l_orderkey", "l_linenumber").orderBy("l_partkey", "l_quantity", "l_extendedprice"))).where("k = 1")
-    ord_, q = F.col("l_orderkey") * 10 + F.col("l_linenumber"), F.col("l_quantity")
-    line = F.when(ord_ % 3 == 0, F.concat(F.lit("Hits@"), F.col("l_partkey") % 50)).otherwise(F.concat(F.lit("Run: 01, Epoch: "), (ord_ % 100), F.lit(", Loss: "), q, F.lit(", Learning Rate: 0.0010, Valid: "), q / 2, F.lit("%, Test: "), q / 4, F.lit("%")))
-    return readers.training_log(rows.select(ord_.alias("ord"), line.alias("line")))
+
+@query(
+    f"""WITH l AS ({_WHOLE_LOG}), h AS (SELECT *, last_value(CASE WHEN ord % 3 = 0 THEN 'Hits@' || (l_partkey % 50) END IGNORE NULLS) OVER (ORDER BY ord ROWS UNBOUNDED PRECEDING) AS metric FROM l)
+    SELECT ord, 1 AS run, (ord % 100)::INTEGER AS epoch, l_quantity AS loss, 0.001::DOUBLE AS lr, l_quantity / 2 AS valid, l_quantity / 4 AS test, metric FROM h WHERE ord % 3 <> 0"""
+)
+def training_log_whole(spark, sf):
+    return readers.training_log(_log_lines(read(spark, sf, "lineitem")))
 
 
 @query("SELECT p_partkey AS pid, p_name || '. ' || CASE WHEN p_size % 2 = 0 THEN '' ELSE p_brand END AS text FROM part")
@@ -86,6 +99,11 @@ def split_pages(spark, sf):
     return writers.split_pages(read(spark, sf, "documents").where("doc_id < 50"), ". ")
 
 
+@query("SELECT doc_id, unnest(string_split(text, '. ')) AS markdown, generate_subscripts(string_split(text, '. '), 1)::INTEGER AS page_no FROM documents")
+def split_pages_whole(spark, sf):
+    return writers.split_pages(read(spark, sf, "documents"), ". ")
+
+
 @query("SELECT s_suppkey AS doc_id, 'a<!-- image -->' || chr(10) || '**AI-Generated Image Description:** ' || s_name || chr(10) || '<!-- end image description -->' || chr(10) || 'b<!-- image -->c' AS markdown FROM supplier")
 def describe_images(spark, sf):
     s = read(spark, sf, "supplier").select(F.col("s_suppkey").alias("doc_id"), F.lit(1).alias("page_no"), "s_name")

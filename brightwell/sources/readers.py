@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
@@ -12,6 +12,8 @@ from ..operators import graph
 
 EDGES = T.StructType([T.StructField("src", T.LongType()), T.StructField("dst", T.LongType()), T.StructField("w", T.DoubleType()), T.StructField("year", T.IntegerType())])
 LINKS = T.StructType([T.StructField(n, k) for n, k in (("from_room", T.StringType()), ("to_room", T.StringType()), ("weight", T.DoubleType()), ("edge_class", T.StringType()), ("namespace", T.StringType()), ("user", T.StringType()))])
+#: A log is read in ranges of its order.
+RANGE_LINES, MAX_RANGES = 100_000, 1000
 TITLES = "pid string, title string, abstract string"
 
 
@@ -86,12 +88,26 @@ def weight_files(files: DataFrame) -> DataFrame:
     return files.where(F.lower("path").endswith(".gguf")).groupBy("model").agg(F.min("path").alias("path"))
 
 
+def _order_range(lines: DataFrame) -> Column:
+    """The number of the range of ord that a line is in: ranges of about RANGE_LINES lines, at most MAX_RANGES."""
+    n = min(MAX_RANGES, -(-lines.count() // RANGE_LINES))
+    if n < 2:
+        return F.lit(0)
+    bounds = lines.agg(F.percentile_approx("ord", [k / n for k in range(1, n)])).first()[0]
+    return F.size(F.filter(F.array(*map(F.lit, sorted(set(bounds)))), lambda b: b < F.col("ord")))
+
+
 def training_log(lines: DataFrame) -> DataFrame:
     """(ord, run, epoch, loss, lr, valid, test, metric) of a log's result lines (ord, line); metric is the last Hits@K header before."""
     number = lambda name: F.expr(f"try_cast(regexp_extract(line, '{name}: ([-0-9.eE]+)', 1) AS DOUBLE)")
     header = F.when(F.rlike("line", F.lit(r"^Hits@\d+$")), F.col("line"))
-    # A log is one file with one order; the window holds one file's lines.
-    carried = lines.withColumn("metric", F.last(header, ignorenulls=True).over(W.partitionBy(F.lit(0)).orderBy("ord").rowsBetween(W.unboundedPreceding, 0)))
+    lines = lines.withColumn("header", header).withColumn("range", _order_range(lines))
+    own = F.last("header", ignorenulls=True).over(W.partitionBy("range").orderBy("ord").rowsBetween(W.unboundedPreceding, 0))
+    # The last header of each range goes on to the ranges after it; one row a range.
+    last = lines.where("header is not null").groupBy(F.col("range").alias("before")).agg(F.max_by("header", "ord").alias("carried"))
+    ranges = lines.select("range").distinct()
+    last = ranges.join(last, F.col("before") < F.col("range")).groupBy("range").agg(F.max_by("carried", "before").alias("carried"))
+    carried = lines.withColumn("own", own).join(F.broadcast(last), "range", "left").withColumn("metric", F.coalesce("own", "carried"))
     hit = carried.where(F.rlike("line", F.lit(r"^Run: \d+, Epoch: \d+")))
     return hit.select("ord", number("Run").cast("int").alias("run"), number("Epoch").cast("int").alias("epoch"), number("Loss").alias("loss"), number("Learning Rate").alias("lr"), number("Valid").alias("valid"), number("Test").alias("test"), "metric")
 

@@ -1,6 +1,7 @@
 """Queries over whole tables and texts, beside those whose SQL reads a part."""
 
 from brightwell.plans.catalog import QUERIES
+from brightwell.sources import readers
 
 from .conftest import DATA
 
@@ -12,3 +13,22 @@ def test_text_helpers_whole(spark):
     for i, t in texts.items():
         assert len(got[i]["safe"]) == len(t) and got[i]["ascii"] == t.isascii() and got[i]["tail"] == t.split(" de ")[-1]
         assert got[i]["chinese"] == any("一" <= c <= "鿿" for c in t)
+
+
+def test_training_log_by_ranges(spark, monkeypatch):
+    """A header goes on over ranges without one; no range holds the whole log."""
+    monkeypatch.setattr(readers, "RANGE_LINES", 7)
+    text = lambda k: f"Hits@{k}" if k in (3, 4, 60, 90) else f"Run: 01, Epoch: {k}, Loss: 1"
+    lines = spark.createDataFrame([(k * k, text(k)) for k in range(100)], "ord bigint, line string")
+    last = lambda k: max((h for h in (3, 4, 60, 90) if h <= k), default=None)
+    got = {r["ord"]: r["metric"] for r in readers.training_log(lines).collect()}
+    assert got == {k * k: last(k) and f"Hits@{last(k)}" for k in range(100) if k not in (3, 4, 60, 90)}
+    assert 10 < lines.select(readers._order_range(lines)).distinct().count() <= 15
+    assert readers.training_log(lines.limit(0)).count() == 0
+
+
+def test_whole_log_and_pages(spark):
+    rows = spark.read.parquet(f"{DATA}/lineitem.parquet").selectExpr("l_orderkey * 10 + l_linenumber as ord").distinct().where("ord % 3 <> 0")
+    assert QUERIES["training_log_whole"](spark, DATA).count() == rows.count()
+    texts = spark.read.parquet(f"{DATA}/documents.parquet")
+    assert QUERIES["split_pages_whole"](spark, DATA).select("doc_id").distinct().count() == texts.where("text is not null").count() > 50
