@@ -122,16 +122,24 @@ def number_images(spark, sf):
     return chat.number_images(m).select("input", "ord", "prefix")
 
 
-@query("SELECT conv_id, turn, CASE WHEN n > 0 THEN n + 1 ELSE 1 + (turn = 0)::INTEGER END::INTEGER AS entries, text FROM (SELECT *, turn % 2 AS n FROM conversations WHERE turn < 2 AND conv_id % 2 = 0) UNION ALL SELECT conv_id, turn, 1 + (turn = 0)::INTEGER, text FROM conversations WHERE turn < 2 AND conv_id % 2 = 1")
-def image_contents(spark, sf):
-    rows = read(spark, sf, "conversations").where("turn < 2")
+def _image_entries(rows):
     even = F.col("conv_id") % 2 == 0
     n = F.when(even, F.col("turn") % 2).otherwise(0)
-    # An even conversation has an image in turn 1; its first message takes a placeholder only in odd ones.
+    # An even conversation has an image in each odd turn; its first message takes a placeholder only in odd ones.
     c = chat.image_contents(F.col("text"), n, F.col("turn") == 0, F.lit(0))
     return rows.select("conv_id", "turn", F.size(c).alias("entries"), F.element_at(c, -1)["text"].alias("text"))
 
 
+@query("SELECT conv_id, turn, CASE WHEN n > 0 THEN n + 1 ELSE 1 + (turn = 0)::INTEGER END::INTEGER AS entries, text FROM (SELECT *, turn % 2 AS n FROM conversations WHERE turn < 2 AND conv_id % 2 = 0) UNION ALL SELECT conv_id, turn, 1 + (turn = 0)::INTEGER, text FROM conversations WHERE turn < 2 AND conv_id % 2 = 1")
+def image_contents(spark, sf):
+    return _image_entries(read(spark, sf, "conversations").where("turn < 2"))
+
+
+@query("SELECT conv_id, turn, CASE WHEN n > 0 THEN n + 1 ELSE 1 + (turn = 0)::INTEGER END::INTEGER AS entries, text FROM (SELECT *, turn % 2 AS n FROM conversations WHERE conv_id % 2 = 0) UNION ALL SELECT conv_id, turn, 1 + (turn = 0)::INTEGER, text FROM conversations WHERE conv_id % 2 = 1")
+def image_contents_whole(spark, sf):
+    return _image_entries(read(spark, sf, "conversations"))
+
+
 @query("SELECT conv_id, string_agg(CASE WHEN turn % 4 = 0 THEN '<|image|>' ELSE '' END || '<|begin_of_text|>' || text, '' ORDER BY turn) AS prompt FROM conversations GROUP BY 1")
 def header_prompt(spark, sf):
     rows = read(spark, sf, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", F.col("text").alias("content")))).alias("m"))

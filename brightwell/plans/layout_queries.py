@@ -187,6 +187,17 @@ def group_environments(spark, sf):
 
 # A user's events as a first page in points from the bottom left: two signups are headers, clicks between them the band.
 _FIRST = """SELECT user_id AS doc_id, event_id::VARCHAR AS ref, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS ord, CASE WHEN event_type = 'signup' THEN 'section_header' WHEN event_type = 'click' THEN 'text' ELSE 'list_item' END AS label, (event_id * 37 % 500)::DOUBLE AS l, (event_id * 101 % 7919 / 10)::DOUBLE AS y FROM events WHERE event_id % 4 = 0"""
+_FIRST_WHOLE = _FIRST.replace(" WHERE event_id % 4 = 0", "")
+
+
+def _authors(events):
+    from pyspark.sql import Window as W
+
+    k, i = F.col("event_type"), F.col("event_id")
+    y = (i * 101 % 7919 / 10).cast("double")
+    e = events.select(F.col("user_id").alias("doc_id"), i.cast("string").alias("ref"), F.lit("#/body").alias("parent_ref"), (F.row_number().over(W.partitionBy("user_id").orderBy("event_id")) - 1).alias("ord"), F.lit("text").alias("kind"),
+        F.when(k == "signup", "section_header").when(k == "click", "text").otherwise("list_item").alias("label"), F.lit(1).alias("page_no"), (i * 37 % 500).cast("double").alias("l"), y.alias("t"), y.alias("b"))
+    return layout.reorder_authors(e).select("doc_id", "ref", "ord")
 
 
 @query(
@@ -198,13 +209,19 @@ _FIRST = """SELECT user_id AS doc_id, event_id::VARCHAR AS ref, row_number() OVE
     SELECT doc_id, ref, (row_number() OVER (PARTITION BY doc_id ORDER BY a, c, ref) - 1)::INTEGER AS ord FROM q"""
 )
 def reorder_authors(spark, sf):
-    from pyspark.sql import Window as W
+    return _authors(read(spark, sf, "events").where("event_id % 4 = 0"))
 
-    k, i = F.col("event_type"), F.col("event_id")
-    y = (i * 101 % 7919 / 10).cast("double")
-    e = read(spark, sf, "events").where("event_id % 4 = 0").select(F.col("user_id").alias("doc_id"), i.cast("string").alias("ref"), F.lit("#/body").alias("parent_ref"), (F.row_number().over(W.partitionBy("user_id").orderBy("event_id")) - 1).alias("ord"), F.lit("text").alias("kind"),
-        F.when(k == "signup", "section_header").when(k == "click", "text").otherwise("list_item").alias("label"), F.lit(1).alias("page_no"), (i * 37 % 500).cast("double").alias("l"), y.alias("t"), y.alias("b"))
-    return layout.reorder_authors(e).select("doc_id", "ref", "ord")
+
+@query(
+    f"""WITH e AS ({_FIRST_WHOLE}), h AS (SELECT doc_id, ref, y FROM e WHERE label = 'section_header' QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY y DESC, ord) <= 2),
+    b AS (SELECT doc_id, arg_max(ref, y) AS title, max(y) AS hi, min(y) AS lo FROM h GROUP BY 1 HAVING count(*) = 2 AND max(y) > min(y)),
+    m AS (SELECT e.doc_id, ref, title, y, l FROM e JOIN b USING (doc_id) WHERE label = 'text' AND y > lo AND y < hi), k AS (SELECT doc_id FROM m GROUP BY 1 HAVING count(*) >= 2 AND max(l) - min(l) >= 60),
+    p AS (SELECT doc_id, ref, title, row_number() OVER (PARTITION BY doc_id ORDER BY -round_even(y / 16, 0), l) AS place FROM m WHERE doc_id IN (SELECT doc_id FROM k)),
+    q AS (SELECT e.doc_id, e.ref, coalesce(t.ord, e.ord) AS a, coalesce(p.place, 0) AS c FROM e LEFT JOIN p USING (doc_id, ref) LEFT JOIN e t ON t.doc_id = p.doc_id AND t.ref = p.title)
+    SELECT doc_id, ref, (row_number() OVER (PARTITION BY doc_id ORDER BY a, c, ref) - 1)::INTEGER AS ord FROM q"""
+)
+def reorder_authors_whole(spark, sf):
+    return _authors(read(spark, sf, "events"))
 
 
 @query(
@@ -264,6 +281,12 @@ def cluster_columns(spark, sf):
     return layout.cluster_columns(e, ["user_id"])
 
 
+@query()
+def cluster_columns_whole(spark, sf):
+    """All events; the recursive SQL is too slow for them."""
+    return layout.cluster_columns(read(spark, sf, "events").select("user_id", (F.col("event_id") * 37 % 400).cast("double").alias("x0")), ["user_id"])
+
+
 @query("SELECT s_suppkey::VARCHAR AS table_ref, 1 AS row, 0 AS col, s_name AS text FROM supplier UNION ALL SELECT s_suppkey::VARCHAR, 0, 1, 'Shares' FROM supplier UNION ALL SELECT s_suppkey::VARCHAR, 5, 5, 'old' FROM supplier")
 def fill_table_cells(spark, sf):
     s = read(spark, sf, "supplier").select(F.col("s_suppkey").cast("string").alias("table_ref"), "s_name")

@@ -32,3 +32,24 @@ def test_whole_log_and_pages(spark):
     assert QUERIES["training_log_whole"](spark, DATA).count() == rows.count()
     texts = spark.read.parquet(f"{DATA}/documents.parquet")
     assert QUERIES["split_pages_whole"](spark, DATA).select("doc_id").distinct().count() == texts.where("text is not null").count() > 50
+
+
+def test_cluster_columns_whole(spark):
+    edges, want = {}, set()
+    for r in spark.read.parquet(f"{DATA}/events.parquet").select("user_id", "event_id").collect():
+        edges.setdefault(r["user_id"], []).append(float(r["event_id"] * 37 % 400))
+    for user, xs in edges.items():
+        cols = []
+        for x in sorted(xs):
+            if cols and x - cols[-1][0] <= 40:
+                cols[-1][1] += 1
+            else:
+                cols.append([x, 1])
+        want |= {(user, k, x, n) for k, (x, n) in enumerate(cols)}
+    got = QUERIES["cluster_columns_whole"](spark, DATA)
+    assert {(r["user_id"], r["col"], r["x0"], r["n"]) for r in got.collect()} == want
+
+
+def test_all_rows_of_events_and_turns(spark):
+    assert QUERIES["reorder_authors_whole"](spark, DATA).count() == spark.read.parquet(f"{DATA}/events.parquet").count()
+    assert QUERIES["image_contents_whole"](spark, DATA).count() == spark.read.parquet(f"{DATA}/conversations.parquet").count()
