@@ -1,71 +1,33 @@
-"""What the corpus operators share: the shared folder, written tables, text inputs."""
+"""What the corpus operators share: files, filters of keys, text inputs."""
 
 from __future__ import annotations
 
 import gc
 import os
-import sys
-import tempfile
-import uuid
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from urllib.parse import urlsplit
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shared import drop_path, qualified, scratch, shared_root, temporary, written
+
+__all__ = ["drop_path", "qualified", "scratch", "shared_root", "temporary", "written"]
+
 #: White space of the contracts: space and the five ASCII controls.
 ASCII_SPACE = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-def shared_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
-
-    Only where it is unset and Spark is local is a folder made; on a cluster
-    an unset folder is an error, as a machine-local one would lose rows.
-    """
-    try:
-        root = spark.conf.get("spark.checkpoint.dir")
-    except Exception:  # the key has no default in this Spark version
-        root = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if root:
-        return root.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    return f"file://{tempfile.mkdtemp(prefix='shared-')}"
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder; Hadoop deletes it when the driver ends."""
-    path = f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
-    jvm = spark._jvm
-    hadoop = jvm.org.apache.hadoop.fs.Path(path)
-    fs = hadoop.getFileSystem(spark._jsc.hadoopConfiguration())
-    fs.mkdirs(hadoop)
-    fs.deleteOnExit(hadoop)
-    return path
-
-
-def drop_path(spark: SparkSession, path: str) -> None:
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """The same rows, read back from Parquet in the shared folder.
-
-    Cuts the lineage: lost executors cost nothing that was written, and what
-    is read twice is computed once.
-    """
-    path = scratch(df.sparkSession, name) + "/table"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def local_path(path: str) -> str | None:
-    """The path for open(), if the URI names a mounted file system."""
+    """The path for open(), if the URI (`qualified`) names a mounted file system."""
     parts = urlsplit(path)
-    return parts.path if parts.scheme in ("", "file") else None
+    if not parts.scheme:
+        raise ValueError(f"a path without a scheme is no place that all executors share: {path!r}")
+    return parts.path if parts.scheme == "file" else None
 
 
 def put_bytes(path: str, parts) -> int:
@@ -116,15 +78,75 @@ def ascii_lower(text: Column) -> Column:
     return F.when(plain, F.lower(text)).otherwise(slow)
 
 
-#: Ids (8 bytes each) up to this number are broadcast in anti_by_id; beyond it the rows are shuffled by id.
-BROADCAST_IDS = 500_000
+#: Bytes of a key filter at most, and its hash functions. Sixteen bits a key let through one stranger in 400.
+FILTER_BYTES, FILTER_HASHES, FILTER_BITS = 16 << 20, 4, 16
+
 
+def key_filter(keys: DataFrame, *, max_bytes: int = FILTER_BYTES) -> Callable[[Column], Column]:
+    """A test (bigint column to boolean) that holds for every key in `keys` (one bigint column) and for few others.
+
+    A Bloom filter of at most max_bytes, however many keys there are: set
+    bits are grouped into words on the executors, and the words, as many as
+    fit max_bytes, are all that reaches the driver and goes out again. With
+    more keys than it is made for it only lets more strangers through, so it
+    may stand before a shuffle but never in place of a join.
+    """
+    spark, name = keys.sparkSession, keys.columns[0]
+    n = keys.count()
+    words = 1 << 6
+    while words * 64 < n * FILTER_BITS and words * 8 < max_bytes:
+        words *= 2
+    bit = F.explode(F.transform(F.sequence(F.lit(0), F.lit(FILTER_HASHES - 1)), lambda k: F.pmod(F.xxhash64(F.col(name), k), F.lit(words * 64)))).alias("b")
+    mask = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod(F.col("b"), F.lit(64)).cast("int"))
+    rows = keys.select(bit).groupBy(F.call_function("shiftright", "b", F.lit(6)).alias("w")).agg(F.bit_or(mask).alias("m")).toArrow()
+    bits = np.zeros(words, dtype=np.int64)
+    bits[rows.column("w").to_numpy()] = rows.column("m").to_numpy()
+    held = spark.sparkContext.broadcast(bits.tobytes())
 
-def anti_by_id(documents: DataFrame, ids: DataFrame, column: str = "doc_id") -> DataFrame:
-    """The documents whose id is not in ids (a written table); rows without an id stay."""
-    if ids.count() <= BROADCAST_IDS:
-        ids = F.broadcast(ids)
-    return documents.join(ids, column, "left_anti")
+    @F.arrow_udf("boolean")
+    def may_be_in(places: pa.Array) -> pa.Array:
+        table = np.frombuffer(held.value, dtype=np.int64)
+        p = places.flatten().to_numpy().reshape(len(places), FILTER_HASHES)
+        return pa.array(((table[p >> 6] >> (p & 63)) & 1).all(axis=1))
+
+    def test(key: Column) -> Column:
+        return may_be_in(F.array(*(F.pmod(F.xxhash64(key, F.lit(k)), F.lit(words * 64)) for k in range(FILTER_HASHES))))
+
+    return test
+
+
+#: Columns that tell documents apart: rows that agree in id and text (null unlike empty) are one document given twice.
+KEY = ["k0__", "k1__", "k2__"]
+
+
+def with_row_key(documents: DataFrame, text: str = "text") -> DataFrame:
+    """The rows with KEY: the id or 0, and 128 bits of hash of text and id. None is null."""
+    return documents.withColumns({"k0__": F.coalesce(F.col("doc_id").cast("bigint"), F.lit(0)), "k1__": F.xxhash64(text), "k2__": F.xxhash64(F.lit(1), F.col("doc_id").cast("bigint"), F.col(text))})
+
+
+def keep_rows(documents: DataFrame, known: DataFrame) -> DataFrame:
+    """The documents without those marked in known (KEY, stays boolean; a written table, each key once), each document once.
+
+    known holds every key that goes, and those that stay but are given more
+    than once; other rows are not in it and stay as they are. Only rows whose
+    key may be in known, by the key filter, are shuffled, and the join decides
+    exactly; all others pass. Of rows with one key the one whose columns hash
+    lowest is taken, by partial aggregates before the join.
+    """
+    names = documents.columns
+    test = key_filter(known.select(F.xxhash64(*KEY).alias("k")))
+    keyed = with_row_key(documents).withColumn("hit__", test(F.xxhash64(*KEY)))
+    row = F.struct(*(F.col(c) for c in names))
+    # What is given twice is in known, so no stranger that the filter lets through is merged here.
+    once = keyed.where("hit__").groupBy(*KEY).agg(F.min_by(row, F.xxhash64(*(F.col(c) for c in names))).alias("row__"))
+    stay = once.join(known.select(*KEY, "stays"), KEY, "left").where(F.coalesce("stays", F.lit(True))).select("row__.*")
+    return keyed.where(~F.col("hit__")).select(*names).unionByName(stay)
+
+
+def gone_or_repeated(rows: DataFrame, stays: Column) -> DataFrame:
+    """What keep_rows takes, from a row for each document with KEY and, alike for rows of one key, whether it stays."""
+    marks = rows.groupBy(*KEY).agg(F.count(F.lit(1)).alias("n"), F.bool_or(stays).alias("stays"))
+    return marks.where((F.col("n") > 1) | ~F.col("stays")).select(*KEY, "stays")
 
 
 @contextmanager
@@ -140,8 +162,15 @@ def paused_gc():
 
 
 def worker_held(key, make):
-    """What make() gave for the key first in this Python worker; it lives as long as the worker, across its tasks."""
-    store = sys.modules["pyarrow"].__dict__.setdefault("_held_by_worker", {})
+    """What make() gave for the key first in this Python worker; it lives as long as the worker, across its tasks.
+
+    This package travels with each task and is made anew for it, so its own
+    globals do not last; a module of its name in sys.modules does.
+    """
+    import sys
+    import types
+
+    store = sys.modules.setdefault("brightwell_worker_state", types.ModuleType("brightwell_worker_state")).__dict__
     if key not in store:
         store[key] = make()
     return store[key]
@@ -152,8 +181,24 @@ BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
 
 
 def bounded_batches(df: DataFrame) -> DataFrame:
-    """The same frame, its session set to batches of at most BATCH_ROWS and BATCH_BYTES, which bound a worker's memory."""
-    conf = df.sparkSession.conf
-    conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    conf.set("spark.sql.execution.arrow.maxBytesPerBatch", f"{BATCH_BYTES}b")
-    return df
+    """The same frame in a session of its own, whose batches to Python have at most BATCH_ROWS and BATCH_BYTES.
+
+    This bounds a worker's memory; the caller's session keeps its settings.
+    """
+    spark = df.sparkSession
+    session = spark._jsparkSession.cloneSession()
+    session.conf().set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    session.conf().set("spark.sql.execution.arrow.maxBytesPerBatch", f"{BATCH_BYTES}b")
+    return DataFrame(spark._jvm.org.apache.spark.sql.classic.Dataset.ofRows(session, df._jdf.queryExecution().logical()), spark)
+
+
+def batches_of(rows: Iterator[tuple], schema: pa.Schema, size: int = 20_000) -> Iterator[pa.RecordBatch]:
+    """Rows in batches of at most `size`."""
+    held: list[tuple] = []
+    for row in rows:
+        held.append(row)
+        if len(held) >= size:
+            yield pa.RecordBatch.from_pylist([dict(zip(schema.names, r)) for r in held], schema=schema)
+            held.clear()
+    if held:
+        yield pa.RecordBatch.from_pylist([dict(zip(schema.names, r)) for r in held], schema=schema)

@@ -12,7 +12,7 @@ MAX_ROUNDS = 60
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """node, component (its smallest node) for each node of the edges (a, b bigint).
+    """node, component (its smallest node) for each node of the edges (a, b of one type that can be ordered).
 
     Alternating star contraction: in a large star each node links its larger
     neighbours to its smallest one, in a small star its smaller ones. Both are
@@ -22,6 +22,7 @@ def components(edges: DataFrame) -> DataFrame:
     only two counts a round.
     """
     spark = edges.sparkSession
+    schema = edges.select("a", "b").schema
     past: list[str] = []
 
     def keep(df: DataFrame) -> DataFrame:
@@ -30,7 +31,7 @@ def components(edges: DataFrame) -> DataFrame:
         past.append(path)
         while len(past) > 2:
             drop_path(spark, past.pop(0))
-        return spark.read.schema("a bigint, b bigint").parquet(path)
+        return spark.read.schema(schema).parquet(path)
 
     # a > b throughout
     now = keep(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())

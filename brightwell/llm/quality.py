@@ -10,6 +10,7 @@ texts that neither dictionary has seen.
 from __future__ import annotations
 
 import math
+import warnings
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -19,7 +20,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, written
+from .common import bounded_batches, temporary, written
 
 #: predicted is 1 from this score on.
 ACCEPT = 0.7
@@ -30,14 +31,18 @@ DICT_BYTES, BLOCK, LEVEL = 65_536, 2048, 3
 
 @dataclass(frozen=True)
 class QualityModel:
-    """good, bad: the dictionaries (None: no label of that class); weights: the calibration."""
+    """good, bad: the dictionaries (None: no labelled text of that class); weights: the calibration."""
 
     good: bytes | None
     bad: bytes | None
     weights: tuple[float, ...]
 
+    @property
+    def fitted(self) -> bool:
+        return self.good is not None and self.bad is not None
+
     def scorer(self):
-        if self.good is None or self.bad is None:
+        if not self.fitted:
             return lambda text: _sigmoid(self.weights[0])
         size = _sizer(self.good, self.bad)
         return lambda text: _sigmoid(float(np.dot(_features(*size(text)), self.weights)))
@@ -101,31 +106,34 @@ def _dictionary(texts: list[bytes]) -> bytes:
 
 
 def fit(documents: DataFrame, labels: DataFrame, *, rows: int = SAMPLE_ROWS, max_bytes: int = SAMPLE_BYTES) -> QualityModel:
-    """Fit on a bounded sample: per class the `rows` labelled documents whose ids hash lowest.
+    """Fit on a bounded sample: per class the `rows` labelled texts whose ids hash lowest, of those at hand.
 
     labels: doc_id and quality, already without what is held out; documents:
-    doc_id and text. Rows with a null id, another quality than 0 or 1, or two
-    qualities are not used; nor are texts that are empty or over `max_bytes`.
-    At most 2 * rows * max_bytes bytes reach the driver. Without labels of
-    both classes each score is 0.5.
+    doc_id and text. Labels with a null id, another quality than 0 or 1, or
+    two qualities are not used, nor are texts that are empty or over
+    `max_bytes`. Of an id with several texts each is one; equal rows are one.
+    The sample is drawn after the join, so labels of documents that are not
+    here take no places. At most 2 * rows * max_bytes bytes reach the driver.
+    Without texts of both classes the model is not fitted.
     """
-    one = written(
+    usable = (
         labels.where(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1))
-        .groupBy("doc_id").agg(F.min("quality").alias("q"), F.max("quality").alias("r"))
-        .where("q = r").select("doc_id", "q").withColumn("o", F.xxhash64(F.col("doc_id").cast("string"), F.lit("quality"))),
-        "quality-labels",
-    )
-    # Half as many again as asked for: some texts are too long. The bound also bounds the broadcast.
-    chosen = one.where("q = 0").orderBy("o", "doc_id").limit(rows * 3 // 2).unionByName(one.where("q = 1").orderBy("o", "doc_id").limit(rows * 3 // 2))
-    got = (
-        documents.select("doc_id", "text").where((F.octet_length("text") > 0) & (F.octet_length("text") <= max_bytes))
-        .join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"])
-        .select("q", "o", F.encode("text", "UTF-8").alias("b"))
+        .groupBy(F.col("doc_id").alias("id")).agg(F.min("quality").alias("q"), F.max("quality").alias("r")).where("q = r").select("id", "q")
     )
+    short = documents.where((F.octet_length("text") > 0) & (F.octet_length("text") <= max_bytes) & F.col("doc_id").isNotNull())
+    with temporary(documents.sparkSession):
+        # Ids and hashes of texts only.
+        have = short.select(F.col("doc_id").alias("id"), F.xxhash64("text").alias("h")).groupBy("id", "h").agg(F.lit(1).alias("one"))
+        known = written(have.join(usable, "id").select("id", "h", "q", F.xxhash64(F.col("id").cast("string"), F.lit("quality")).alias("o")), "quality-known")
+        pick = [known.where(F.col("q") == q).orderBy("o", "id", "h").limit(rows) for q in (0, 1)]
+        chosen = written(pick[0].unionByName(pick[1]), "quality-chosen")
+        counts = dict(known.groupBy("q").count().collect())
+        # The sample's bound is also that of the broadcast.
+        same = (F.col("doc_id") == F.col("id")) & (F.xxhash64("text") == F.col("h"))
+        got = short.select("doc_id", "text").join(F.broadcast(chosen), same).select("q", "o", "id", "h", F.encode("text", "UTF-8").alias("b")).dropDuplicates(["id", "h"]).collect()
     texts: dict[int, list[bytes]] = {0: [], 1: []}
-    for q, _, b in sorted(got.collect(), key=lambda r: (r["o"], bytes(r["b"]))):
-        if len(texts[q]) < rows:
-            texts[q].append(bytes(b))
+    for r in sorted(got, key=lambda r: (r["o"], r["id"], r["h"])):
+        texts[r["q"]].append(bytes(r["b"]))
     if not texts[0] or not texts[1]:
         return QualityModel(None, None, (0.0,))
     train, rest = {}, {}
@@ -135,12 +143,11 @@ def fit(documents: DataFrame, labels: DataFrame, *, rows: int = SAMPLE_ROWS, max
     size = _sizer(good, bad)
     x = np.array([_features(*size(t)) for q in (0, 1) for t in rest[q]])
     y = np.array([q for q in (0, 1) for _ in rest[q]])
-    counts = dict(one.groupBy("q").count().collect())
     return QualityModel(good, bad, _calibrate(x, y, counts[1] / (counts[0] + counts[1])))
 
 
 def score(documents: DataFrame, model: QualityModel, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: id, score, predicted. A null text scores as an empty one.
+    """One row per input row: id, score, predicted. A null text scores as an empty one; without a fitted model scores are 0.5.
 
     One pass without a shuffle; the model (two dictionaries of DICT_BYTES) goes out with the task.
     """
@@ -161,7 +168,13 @@ def training_labels(labels: DataFrame) -> DataFrame:
 
 
 def classify(documents: DataFrame, labels: DataFrame) -> DataFrame:
-    """Fit on the labels outside the held-out quarter and score every document."""
+    """Fit on the labels outside the held-out quarter and score every document: doc_id, score, predicted, held_out.
+
+    One row per input row, repeated ones too, each scored by its own text; a
+    null text scores as an empty one, a null id is not held out. Extra columns
+    are not read. Where the model cannot be fitted (no labelled text of one of
+    the classes) each score is 0.5. An empty table gives an empty result.
+    """
     model = fit(documents, training_labels(labels))
     return score(documents, model).withColumn("held_out", F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False)))
 
@@ -169,9 +182,15 @@ def classify(documents: DataFrame, labels: DataFrame) -> DataFrame:
 def accepted(documents: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents whose score reaches ACCEPT, with all their columns.
 
-    The score is added beside the row in the same pass, so no join is needed.
+    Each row is judged by its own text, whatever its id, null texts as empty
+    ones. Where the model cannot be fitted no document can be rejected: all
+    go on, with a warning. The score is formed beside the row in one pass, so
+    no join is needed. An empty table gives an empty one.
     """
     model = fit(documents, training_labels(labels))
+    if not model.fitted:
+        warnings.warn("no labelled texts of both classes: all documents are accepted", stacklevel=2)
+        return documents
     schema = documents.schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -3,7 +3,8 @@
 All blocks share one frequency table. Symbol i of a block belongs to lane
 i % lanes; each lane has a 64-bit state in [2^31, 2^63) and gives or takes 32
 bits at a time. Every few steps the decoder's states are written down, so a
-block can be decoded from each of these checkpoints.
+block can be decoded from each of these checkpoints; each stretch between two
+has a checksum of its ids.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ import numpy as np
 
 LOW = np.uint64(1 << 31)
 WORD = np.uint64(32)
-LANES, CHECK_STEPS = 512, 256
+LANES, CHECK_STEPS = 512, 128
 TABLE_MAGIC, BLOCK_MAGIC = b"RANSTAB1", b"RANSBLK1"
 
 
@@ -24,6 +25,18 @@ def _u(x: int) -> np.uint64:
     return np.uint64(x)
 
 
+def lanes_of(n: int, lanes: int = LANES) -> int:
+    """Lanes of a block of n ids: small ones have fewer."""
+    return max(1, min(lanes, 1 << max(0, (n // 64).bit_length() - 1)))
+
+
+def stretches(n: int, lanes: int = LANES, check_steps: int = CHECK_STEPS) -> tuple[int, int]:
+    """(how many stretches between checkpoints a block of n ids has, ids of each but the last)."""
+    lanes = lanes_of(n, lanes)
+    steps = -(-n // lanes)
+    return max(1, -(-steps // check_steps)), check_steps * lanes
+
+
 @dataclass(frozen=True)
 class Table:
     """Frequencies that add up to 2 ** bits; a symbol without any cannot be encoded."""
@@ -84,9 +97,9 @@ class Coder:
         self.mask = _u((1 << table.bits) - 1)
 
     def encode(self, ids: np.ndarray, lanes: int = LANES, check_steps: int = CHECK_STEPS) -> bytes:
-        """A block: header, lane states, checkpoints, words, with a checksum of the ids and one of the block."""
+        """A block: header, lane states, checkpoints, checksums of the stretches' ids, words, and a checksum of all."""
         n = len(ids)
-        lanes = max(1, min(lanes, 1 << max(0, (n // 64).bit_length() - 1)))
+        lanes = lanes_of(n, lanes)
         steps = -(-n // lanes)
         f_all, c_all = self.freq[ids], self.start[ids]
         if n and not f_all.all():
@@ -108,23 +121,22 @@ class Coder:
             s[:] = (q << self.bits) + (s - q * f) + c
             if step and step % check_steps == 0:
                 marks.append((words, x.astype("<u8").tobytes()))
-        body = [x.astype("<u8").tobytes(), *(struct.pack("<I", words - w) + state for w, state in reversed(marks)), *(w.tobytes() for w in reversed(out))]
-        head = struct.pack("<IIIIII", n, lanes, check_steps, len(marks), words, zlib.crc32(ids.astype("<u4").tobytes()))
+        raw, span = ids.astype("<u4"), check_steps * lanes
+        sums = [zlib.crc32(raw[k * span : (k + 1) * span].tobytes()) for k in range(len(marks) + 1)]
+        body = [x.astype("<u8").tobytes(), *(struct.pack("<I", words - w) + state for w, state in reversed(marks)), np.array(sums, dtype="<u4").tobytes(), *(w.tobytes() for w in reversed(out))]
+        head = struct.pack("<IIIII", n, lanes, check_steps, len(marks), words)
         payload = head + b"".join(body)
         return BLOCK_MAGIC + struct.pack("<II", len(payload), zlib.crc32(payload)) + payload
 
     def decode(self, block: bytes, checkpoint: int = 0, until: int | None = None) -> np.ndarray:
-        """The ids from a checkpoint (0: the beginning) to another (None: the end).
-
-        A whole block is also held against the checksum of its ids.
-        """
+        """The ids from a checkpoint (0: the beginning) to another (None: the end), held against their checksums."""
         size, crc = struct.unpack_from("<II", block, 8)
         payload = block[16 : 16 + size]
         if block[:8] != BLOCK_MAGIC or len(payload) != size or zlib.crc32(payload) != crc:
             raise ValueError("damaged block")
-        n, lanes, check_steps, marks, words, ids_crc = struct.unpack_from("<IIIIII", payload)
-        at = 24 + 8 * lanes
-        state, pos = payload[24:at], 0
+        n, lanes, check_steps, marks, words = struct.unpack_from("<IIIII", payload)
+        at = 20 + 8 * lanes
+        state, pos = payload[20:at], 0
         if checkpoint:
             if checkpoint > marks:
                 raise ValueError(f"the block has {marks} checkpoints")
@@ -132,8 +144,11 @@ class Coder:
             (pos,) = struct.unpack_from("<I", payload, here)
             state = payload[here + 4 : here + 4 + 8 * lanes]
         x = np.frombuffer(state, "<u8").astype(np.uint64)
-        stream = np.frombuffer(payload, "<u4", words, at + marks * (4 + 8 * lanes)).astype(np.uint64)
-        first, last = checkpoint * check_steps, -(-n // lanes) if until is None else min(until * check_steps, -(-n // lanes))
+        at += marks * (4 + 8 * lanes)
+        sums = np.frombuffer(payload, "<u4", marks + 1, at)
+        stream = np.frombuffer(payload, "<u4", words, at + 4 * (marks + 1)).astype(np.uint64)
+        last_mark = marks + 1 if until is None else min(until, marks + 1)
+        first, last = checkpoint * check_steps, min(last_mark * check_steps, -(-n // lanes))
         out = np.empty(max(0, min(n, last * lanes) - first * lanes), dtype=np.uint32)
         base = first * lanes
         for step in range(first, last):
@@ -148,6 +163,8 @@ class Coder:
             if k:
                 s[low] = (s[low] << WORD) | stream[pos : pos + k]
                 pos += k
-        if not checkpoint and until is None and (zlib.crc32(out.astype("<u4").tobytes()) != ids_crc or pos != words):
-            raise ValueError("the ids do not have the block's checksum")
+        raw, span = out.astype("<u4"), check_steps * lanes
+        for k in range(checkpoint, last_mark):
+            if zlib.crc32(raw[k * span - base : (k + 1) * span - base].tobytes()) != sums[k]:
+                raise ValueError("the ids do not have the block's checksum")
         return out

@@ -12,8 +12,8 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
+from ..ranges import running
 from .common import written
 
 #: Hash values of a draw: 48 bits of an MD5.
@@ -32,7 +32,8 @@ def topology(n: int) -> list[Shard]:
     """n shards of equal weight: up to eight in two regions of two racks of two, each further one in a region of its own.
 
     As a further shard is a new subtree, no other weight changes and it takes
-    rows only into itself.
+    rows only into itself; inside a region that grew, rows would also move to
+    its other shards.
     """
     return [Shard(s // 4, s % 4 // 2, s) if s < 8 else Shard(s - 6, 0, s) for s in range(n)]
 
@@ -42,56 +43,70 @@ def _draw(key: Column, node: str, weight: float) -> Column:
     return -F.log(u) / weight
 
 
-def _descend(key: Column, shards: list[Shard], levels: tuple[str, ...] = ("region", "rack", "shard"), path: str = "") -> Column:
-    """The id of the shard that the key reaches, as one expression without a join."""
-    if not levels:
-        return F.lit(shards[0].shard)
-    parts: dict[int, list[Shard]] = {}
-    for s in shards:
-        if s.weight > 0:
-            parts.setdefault(getattr(s, levels[0]), []).append(s)
-    children = [(f"{path}/{levels[0]}{k}", own) for k, own in sorted(parts.items())]
-    if not children:
+LEVELS = ("region", "rack", "shard")
+
+
+def tree(shards: list[Shard]) -> list[dict[str, list[tuple[str, float]]]]:
+    """For each level the inner nodes, by path, with their children (path, weight); nodes without weight are left out."""
+    out: list[dict[str, list[tuple[str, float]]]] = []
+    here: dict[str, list[Shard]] = {"": [s for s in shards if s.weight > 0]}
+    if not here[""]:
         raise ValueError("no shard has a positive weight")
-    below = [_descend(key, own, levels[1:], node) for node, own in children]
-    if len(children) == 1:
-        return below[0]
-    draws = [F.struct(_draw(key, node, sum(s.weight for s in own)).alias("d"), F.lit(k).alias("k")) for k, (node, own) in enumerate(children)]
-    won = F.least(*draws)["k"]
-    out = below[-1]
-    for k in range(len(children) - 2, -1, -1):
-        out = F.when(won == k, below[k]).otherwise(out)
+    for level in LEVELS:
+        below: dict[str, list[Shard]] = {}
+        nodes: dict[str, list[tuple[str, float]]] = {}
+        for path, own in here.items():
+            parts: dict[str, list[Shard]] = {}
+            for s in own:
+                parts.setdefault(f"{path}/{level}{getattr(s, level)}", []).append(s)
+            nodes[path] = [(p, sum(s.weight for s in part)) for p, part in sorted(parts.items())]
+            below |= parts
+        out.append(nodes)
+        here = below
     return out
 
 
 def assign(df: DataFrame, shards: list[Shard], *, key: str = "doc_id", column: str = "shard") -> DataFrame:
-    """The rows with their shard. A null key draws like the text 'null'. No shuffle."""
-    return df.withColumn(column, _descend(F.coalesce(F.col(key).cast("string"), F.lit("null")), shards).cast("int"))
-
+    """The rows with their shard. A null key draws like the text 'null'. No shuffle.
 
-def slots(df: DataFrame, *, shard: str = "shard", order: tuple[str, ...] = ("doc_id",), buckets: int | None = None) -> DataFrame:
-    """Add slot: the row's place in its shard from 0, by the order's columns (nulls first).
-
-    Not one sort for each shard: rows fall into ranges of the first order
-    column by its approximate quantiles, rows are numbered in each (shard,
-    range), and a range starts where the counts of those before it end. A
-    value that fills a range by itself is spread by the other order columns.
+    One column a level, each from the one before, so that the plan has one
+    draw for each node of the tree and a row makes those of its own way only.
+    """
+    text = F.coalesce(F.col(key).cast("string"), F.lit("null"))
+    out = df.withColumn("node__", F.lit(""))
+    for nodes in tree(shards):
+        chosen = None
+        for path, children in sorted(nodes.items()):
+            if len(children) == 1:
+                best = F.lit(children[0][0])
+            else:
+                best = F.least(*(F.struct(_draw(text, p, w).alias("d"), F.lit(p).alias("p")) for p, w in children))["p"]
+            chosen = F.when(F.col("node__") == path, best) if chosen is None else chosen.when(F.col("node__") == path, best)
+        out = out.withColumn("node__", chosen)
+    return out.withColumn(column, F.regexp_extract("node__", "shard(-?[0-9]+)$", 1).cast("int")).drop("node__")
+
+
+#: Rows that one step of slots() writes out for a group of equal rows.
+CHUNK_ROWS = 1 << 14
+
+
+def slots(df: DataFrame, *, shard: str = "shard", order: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """Add slot: the row's place in its shard from 0, by the order's columns (nulls first), then by the others.
+
+    Not one sort for each shard: equal rows are counted first, so that no
+    value fills a range by itself, the rest is ranked by ranges of all
+    columns, and each row is given out as often as it was there, in pieces of
+    CHUNK_ROWS that are dealt anew. df: few and narrow columns.
     """
-    spark = df.sparkSession
-    first = order[0]
-    n = buckets or max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    cuts = df.agg(F.percentile_approx(first, [k / n for k in range(1, n)], 10 * n)).first()[0] or []
-    bounds = sorted(set(cuts))
-    at = F.lit(0)
-    if bounds:
-        at = F.when(F.col(first).isNull(), 0).otherwise(F.size(F.filter(F.lit(bounds), lambda c: c < F.col(first))) + 1)
-    placed = df.withColumn("__range", at)
-    counts = placed.groupBy(shard, "__range").agg(F.count(F.lit(1)).alias("__n"))
-    # One row for each shard and range: as small as the two numbers.
-    before = counts.withColumn("__start", F.sum("__n").over(W.partitionBy(shard).orderBy("__range").rowsBetween(W.unboundedPreceding, -1))).select(F.col(shard).alias("__s"), F.col("__range").alias("__r"), F.coalesce("__start", F.lit(0)).alias("__start"))
-    numbered = placed.withColumn("__k", F.row_number().over(W.partitionBy(shard, "__range").orderBy(*order)) - 1)
-    out = numbered.join(F.broadcast(before), (F.col(shard) == F.col("__s")) & (F.col("__range") == F.col("__r")))
-    return out.withColumn("slot", (F.col("__start") + F.col("__k")).cast("bigint")).drop("__range", "__k", "__s", "__r", "__start")
+    names = [shard, *order, *(c for c in df.columns if c not in (shard, *order))]
+    counted = df.groupBy(*names).agg(F.count(F.lit(1)).alias("n__"))
+    ranked = running(counted, names[1:], by=[shard], value="n__").withColumn("first__", F.col("cum") - F.col("n__"))
+    starts = F.explode(F.sequence(F.col("first__"), F.col("cum") - 1, F.lit(CHUNK_ROWS).cast("bigint"))).alias("at__")
+    pieces = ranked.select(*names, "cum", starts)
+    tasks = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    dealt = pieces.repartition(tasks, shard, "at__")
+    place = F.explode(F.sequence("at__", F.least(F.col("at__") + CHUNK_ROWS, F.col("cum")) - 1)).alias("slot")
+    return dealt.select(*df.columns, place)
 
 
 def place(documents: DataFrame, *, shards: list[Shard], grown: list[Shard]) -> DataFrame:

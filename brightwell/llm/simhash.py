@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import anti_by_id, bounded_batches, written
+from .common import KEY, bounded_batches, gone_or_repeated, keep_rows, temporary, with_row_key, written
 from .components import components
 
 SEED = 42
@@ -56,15 +56,16 @@ def fingerprint(text: bytes, shingle: int = 3) -> int:
     return int(np.packbits(sums * 2 > n, bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(documents: DataFrame, *, shingle: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and fp (bigint, the bits as a signed number) of each row; null texts count as empty."""
+def fingerprints(documents: DataFrame, *, shingle: int = 3) -> DataFrame:
+    """KEY, doc_id and fp (bigint, the bits as a signed number) of each row; null texts count as empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fps = np.array([fingerprint(t or b"", shingle) for t in b.column(1).to_pylist()], dtype=np.uint64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view(np.int64))], names=["doc_id", "fp"])
+            fps = np.array([fingerprint(t or b"", shingle) for t in b.column(4).to_pylist()], dtype=np.uint64)
+            yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(fps.view(np.int64))], names=[*KEY, "doc_id", "fp"])
 
-    return documents.select(F.col(id_col).cast("bigint").alias("doc_id"), F.encode(text_col, "UTF-8").alias("t")).transform(bounded_batches).mapInArrow(run, "doc_id bigint, fp bigint")
+    rows = with_row_key(documents.select("doc_id", "text")).select(*KEY, F.col("doc_id").cast("bigint").alias("doc_id"), F.encode("text", "UTF-8").alias("t"))
+    return rows.transform(bounded_batches).mapInArrow(run, ", ".join(f"{c} bigint" for c in (*KEY, "doc_id", "fp")))
 
 
 def golay_tables() -> tuple[np.ndarray, np.ndarray]:
@@ -124,58 +125,88 @@ def join_keys(fps: np.ndarray, tables: tuple[np.ndarray, np.ndarray]) -> tuple[n
 
 
 def links(nodes: DataFrame, *, pair_cap: int = PAIR_CAP) -> DataFrame:
-    """Edges (a, b) that connect what lies MAX_BITS or fewer apart. nodes: node bigint, fp bigint, fps distinct.
-
-    Every pair in reach is linked, directly or through rows that are also
-    linked, so components are exact. Groups of a key over pair_cap are not
-    paired: their members meet in shared neighbours one bit off, 65 rows each,
-    as two fingerprints two bits apart have such a neighbour and any two that
-    share one are at most two apart.
+    """Edges (a, b) between fingerprints (column fp bigint, each once) that connect what lies MAX_BITS or fewer apart.
+
+    Every pair in reach is linked, directly or through fingerprints that are
+    also linked, so components are exact. Groups of a key over pair_cap are
+    not paired: their members meet in shared neighbours one bit off, 65 rows
+    each, as two fingerprints two bits apart have such a neighbour and any two
+    that share one are at most two apart. That way takes over where keys
+    (33 to 34 bits) hold more than pair_cap by chance, above some 8e10
+    fingerprints; its cost a fingerprint does not grow.
     """
 
     def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables = golay_tables()
         for b in batches:
-            fps = b.column(1).to_numpy().view(np.uint64)
-            rows, keys = join_keys(fps, tables)
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(rows)), b.column(1).take(pa.array(rows)), pa.array(keys)], names=["node", "fp", "key"])
+            rows, keys = join_keys(b.column(0).to_numpy().view(np.uint64), tables)
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(rows)), pa.array(keys)], names=["fp", "key"])
 
-    keyed = nodes.select("node", "fp").transform(bounded_batches).mapInArrow(expand, "node bigint, fp bigint, key bigint")
+    keyed = nodes.select("fp").transform(bounded_batches).mapInArrow(expand, "fp bigint, key bigint")
     sizes = written(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "golay-sizes")
     shared = written(keyed.join(sizes, "key"), "golay-keys")
     few = shared.where(F.col("n") <= pair_cap)
-    x, y = few.select("key", F.col("node").alias("a"), F.col("fp").alias("f")), few.select("key", F.col("node").alias("b"), F.col("fp").alias("g"))
-    pairs = x.join(y, "key").where((F.col("a") > F.col("b")) & (F.bit_count(F.col("f").bitwiseXOR(F.col("g"))) <= MAX_BITS)).select("a", "b")
-    many = shared.where(F.col("n") > pair_cap).select("node", "fp").distinct()
+    x, y = few.select("key", F.col("fp").alias("a")), few.select("key", F.col("fp").alias("b"))
+    pairs = x.join(y, "key").where((F.col("a") > F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= MAX_BITS)).select("a", "b")
+    many = shared.where(F.col("n") > pair_cap).select("fp").distinct()
     flips = F.concat(F.array(F.lit(0).cast("bigint")), F.transform(F.sequence(F.lit(0), F.lit(63)), lambda k: F.call_function("shiftleft", F.lit(1).cast("bigint"), k)))
-    around = written(many.select("node", F.explode(F.transform(flips, lambda m: F.col("fp").bitwiseXOR(m))).alias("x")), "golay-neighbours")
-    stars = around.join(around.groupBy("x").agg(F.min("node").alias("b"), F.count(F.lit(1)).alias("c")).where("c > 1"), "x").where("node <> b").select(F.col("node").alias("a"), "b")
+    around = written(many.select("fp", F.explode(F.transform(flips, lambda m: F.col("fp").bitwiseXOR(m))).alias("x")), "golay-neighbours")
+    stars = around.join(around.groupBy("x").agg(F.min("fp").alias("b"), F.count(F.lit(1)).alias("c")).where("c > 1"), "x").where("fp <> b").select(F.col("fp").alias("a"), "b")
     return pairs.unionByName(stars).distinct()
 
 
-def near_dedup(documents: DataFrame, *, shingle: int = 3, pair_cap: int = PAIR_CAP) -> DataFrame:
-    """One row per input row: doc_id, fp, component_id (smallest doc_id reachable).
+def placed(rows: DataFrame, edges, node: str) -> DataFrame:
+    """The rows (with doc_id and a node column) and their class and component_id, its smallest doc_id.
 
-    Rows with equal fingerprints are one node, however many; only nodes are
-    linked. Null texts count as empty (fingerprint 0, linked like any other);
-    a repeated doc_id gets a row for each of its rows, and its nodes are
-    joined only by their links; rows with a null doc_id form nodes with the
-    others of their fingerprint, and where there is no other id the component
-    is null. Extra columns are not read. An empty table gives an empty result.
+    Rows of one node are one however many; edges(nodes) links the distinct
+    nodes. A class is a component's smallest node, so rows without an id take
+    part like others, and an id that is given to several nodes joins none.
     """
-    fps = written(fingerprints(documents, shingle=shingle), "simhash")
-    reps = written(fps.groupBy("fp").agg(F.min("doc_id").alias("node")), "simhash-nodes")
-    # A doc_id that stands for two fingerprints (repeated ids) is one node: its rows are one document.
-    comps = components(links(reps.where("node is not null"), pair_cap=pair_cap))
-    of = written(reps.join(comps, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id")), "simhash-components")
-    return fps.join(of, "fp")
+    nodes = written(rows.groupBy(node).agg(F.min("doc_id").alias("first")), "near-nodes")
+    comps = written(components(edges(nodes.select(node))), "near-components")
+    of = nodes.join(comps.withColumnRenamed("node", node), node, "left").select(node, F.coalesce("component", node).alias("class"), "first")
+    firsts = of.groupBy("class").agg(F.min("first").alias("component_id"))
+    of = written(of.join(firsts, "class").select(node, "class", "component_id"), "near-classes", keep=True)
+    return rows.join(of, node)
 
 
-def unique(documents: DataFrame, **options) -> DataFrame:
-    """The documents of which one stays for each component: that with the smallest doc_id.
+def near_dedup(documents: DataFrame, *, shingle: int = 3, pair_cap: int = PAIR_CAP) -> DataFrame:
+    """One row per input row: doc_id, fp, component_id (smallest doc_id reachable).
 
-    All columns stay. Of rows that repeat the id that stays each stays; rows
-    without an id stay.
+    Rows with equal fingerprints are one node, however many; only nodes are
+    linked. Null texts count as empty (fingerprint 0, linked like any other).
+    Each row of a repeated doc_id has the component of its own text: the id
+    links no texts. Rows with a null doc_id are nodes and links like others,
+    and where a component has no other id its component_id is null. Extra
+    columns are not read. An empty table gives an empty result.
+    """
+    with temporary(documents.sparkSession):
+        rows = written(fingerprints(documents, shingle=shingle), "simhash", keep=True)
+        out = placed(rows, lambda nodes: links(nodes, pair_cap=pair_cap), "fp")
+    return out.select("doc_id", "fp", "component_id")
+
+
+def unique(documents: DataFrame, *, shingle: int = 3, similarity: float | None = None) -> DataFrame:
+    """The documents of which exactly one stays for each component, with all columns: that with the smallest doc_id.
+
+    Without a similarity, components are those of near_dedup. With one, texts
+    are linked whose sets of shingles have that Jaccard similarity or more;
+    Golay keys find few of these (at 0.8 two fingerprints lie about ten of 64
+    bits apart, see the README), so MinHash bands retrieve them in their place
+    (similar.py). Decided by id and text: other texts of an id that goes are
+    not touched. Rows without an id go where their component has another, and
+    rows that repeat id and text are one document. An empty table gives an
+    empty one.
     """
-    dropped = written(near_dedup(documents, **options).where("component_id <> doc_id").select("doc_id").distinct(), "simhash-dropped")
-    return anti_by_id(documents, dropped)
+    from . import similar
+
+    with temporary(documents.sparkSession):
+        if similarity is None:
+            rows = placed(written(fingerprints(documents, shingle=shingle), "simhash"), links, "fp")
+        else:
+            rows = similar.classes(documents, shingle=shingle, similarity=similarity)
+        first = F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), *KEY)).alias("w")
+        groups = rows.groupBy("class").agg(first, F.count(F.lit(1)).alias("n")).where("n > 1")
+        stays = (F.col("k0__") == F.col("w.k0__")) & (F.col("k1__") == F.col("w.k1__")) & (F.col("k2__") == F.col("w.k2__"))
+        known = written(gone_or_repeated(rows.join(groups, "class"), stays), "near-known", keep=True)
+    return keep_rows(documents, known)

@@ -17,7 +17,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_IDS, bounded_batches, open_bytes, put_bytes, scratch, written
+from .common import bounded_batches, key_filter, open_bytes, put_bytes, qualified, scratch, written
 
 #: Payloads below this many bytes are stored each time.
 REVISIT_BYTES = 100
@@ -181,19 +181,23 @@ def write(pages: DataFrame, folder: str, *, least: int = REVISIT_BYTES, file_byt
     """Write all pages into archives under folder; path, records and bytes of each file.
 
     Two passes: the first takes digests and finds what is a revisit, without
-    payloads; the second writes. Payloads move between executors only if
-    there are too many revisits to broadcast their ids. A file's name holds
-    the task attempt and only attempts that ended well are listed.
+    payloads; the second writes. Only pages that may be revisits, by a key
+    filter, are joined with them, so other payloads do not move. A file's name
+    holds the task attempt and only attempts that ended well are listed.
     """
     spark = pages.sparkSession
-    again = written(revisits(written(digests(pages), "warc-digests"), least=least), "warc-revisits")
-    rule = again.groupBy("page_id", "payload_digest").agg(F.min("refers_to").alias("refers_to"))
-    if again.count() <= BROADCAST_IDS:
-        rule = F.broadcast(rule)
+    folder = qualified(spark, folder)
+    rule = written(revisits(written(digests(pages), "warc-digests"), least=least).groupBy("page_id", "payload_digest").agg(F.min("refers_to").alias("refers_to")), "warc-revisits")
+    test = key_filter(rule.select(F.xxhash64("page_id", "payload_digest").alias("k")))
     raw = spark.sparkContext.broadcast(train(pages) if dictionary is None else dictionary)
     html = F.encode(F.coalesce("html", F.lit("")), "UTF-8")
     rows = pages.select(F.col("page_id").cast("bigint").alias("page_id"), F.col("url").cast("string").alias("url"), html.alias("payload")).withColumn("digest", F.sha2("payload", 256))
-    marked = rows.join(rule, rows["page_id"].eqNullSafe(rule["page_id"]) & (rows["digest"] == rule["payload_digest"]), "left").select(rows["page_id"], "url", "payload", "digest", "refers_to")
+    rows = rows.withColumn("again", test(F.xxhash64("page_id", "digest")))
+    some = rows.where("again").drop("again")
+    names = ["page_id", "url", "payload", "digest"]
+    by = rule.select(F.col("page_id").alias("of"), "payload_digest", "refers_to")
+    met = some.join(by, some["page_id"].eqNullSafe(by["of"]) & (some["digest"] == by["payload_digest"]), "left").select(*names, "refers_to")
+    marked = rows.where("not again").select(*names, F.lit(None).cast("bigint").alias("refers_to")).unionByName(met)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -252,6 +256,14 @@ def read(files: DataFrame, *, payloads: bool = False) -> DataFrame:
     return files.select("path", "records").repartition(parts, "path").transform(bounded_batches).mapInArrow(run, RECORDS + (", payload binary" if payloads else ""))
 
 
+def checked(records: DataFrame) -> DataFrame:
+    """The records read (a written table); an error if a revisit names no response with its digest."""
+    named = records.where("record_type = 'response'").select(F.col("page_id").alias("refers_to"), "payload_digest", F.lit(True).alias("found")).distinct()
+    again = records.where("record_type = 'revisit'").join(named, ["refers_to", "payload_digest"], "left")
+    digest = F.when(F.col("found"), F.col("payload_digest")).otherwise(F.raise_error(F.format_string("page %d is no response with the digest of its revisit", "refers_to")))
+    return records.where("record_type <> 'revisit'").unionByName(again.withColumn("payload_digest", digest).select(*records.columns))
+
+
 def round_trip(pages: DataFrame, folder: str | None = None) -> DataFrame:
     """Write every page and read the archives back: page_id, payload_bytes, payload_digest, record_type, refers_to.
 
@@ -262,4 +274,5 @@ def round_trip(pages: DataFrame, folder: str | None = None) -> DataFrame:
     table gives no file and an empty result.
     """
     files = write(pages, folder or scratch(pages.sparkSession, "warc-data"))
-    return read(files).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    records = written(read(files).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"), "warc-records")
+    return checked(records)

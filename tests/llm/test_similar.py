@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from brightwell.llm import near_copies
+from brightwell.llm import similar, simhash
 
 from ..conftest import DATA
 
@@ -57,19 +57,21 @@ def rows():
 
 def test_against_brute_force(spark, rows):
     frame = spark.createDataFrame([(i, t, "en", "d", 1, "k", 2) for i, t in rows], SCHEMA)
-    got = {r["doc_id"]: r["component_id"] for r in near_copies.near_dedup(frame).collect()}
+    got = {r["doc_id"]: r["component_id"] for r in similar.classes(frame).collect()}
     want = brute(rows)
     assert got == want and 1 < len(set(want.values())) < len(want)
-    left = near_copies.unique(frame.unionByName(frame.limit(1).withColumn("doc_id", F.lit(None).cast("bigint"))))
+    left = simhash.unique(frame.unionByName(frame.limit(1).withColumn("doc_id", F.lit(None).cast("bigint"))), shingle=5, similarity=0.8)
     assert left.columns == frame.columns
-    assert sorted(r["doc_id"] for r in left.collect() if r["doc_id"] is not None) == sorted(set(want.values()))
+    assert sorted(r["doc_id"] for r in left.collect()) == sorted(set(want.values()))
 
 
 def test_empty_and_repeated(spark):
     frame = spark.createDataFrame([], SCHEMA)
-    assert near_copies.near_dedup(frame).count() == 0 and near_copies.unique(frame).count() == 0
-    twice = spark.createDataFrame([(8, "a b c d e f"), (8, "other words here"), (9, "A b c d e f")], "doc_id bigint, text string")
-    assert sorted(map(tuple, near_copies.near_dedup(twice).collect())) == [(8, 8), (8, 8), (9, 8)]
+    assert similar.classes(frame).count() == 0
+    twice = spark.createDataFrame([(8, "a b c d e f"), (8, "other words here"), (9, "A b c d e f"), (None, "a  b c d e f"), (None, "alone")], "doc_id bigint, text string")
+    assert sorted(((r["doc_id"], r["component_id"]) for r in similar.classes(twice).collect()), key=repr) == sorted([(8, 8), (8, 8), (9, 8), (None, 8), (None, None)], key=repr)
+    left = simhash.unique(twice, shingle=5, similarity=0.8)
+    assert sorted(((r["doc_id"], r["text"]) for r in left.collect()), key=repr) == sorted([(8, "a b c d e f"), (8, "other words here"), (None, "alone")], key=repr)
 
 
 def test_stage_drops_near_copies(spark):
