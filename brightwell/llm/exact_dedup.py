@@ -196,7 +196,7 @@ def _merged(runs: list[Run], lo: bytes, hi: bytes | None, keep: str) -> Iterator
         yield digest, best, n
 
 
-def compact(files: DataFrame, *, keep: str = "min", digest_bytes: int = 32, fan: int = FAN) -> DataFrame:
+def compact(files: DataFrame, *, keep: str = "min", digest_bytes: int = 32, fan: int = FAN, file_entries: int = FILE_ENTRIES) -> DataFrame:
     """The files of one run into which all runs are merged, level by level; `keep` says which identifier stays.
 
     A task merges the files of `fan` runs that cover its share of the digests,
@@ -231,13 +231,13 @@ def compact(files: DataFrame, *, keep: str = "min", digest_bytes: int = 32, fan:
             return files
         level += 1
         wider = shares
-        while wider < most and total > -(-runs // fan) * wider * FILE_ENTRIES:
+        while wider < most and total > -(-runs // fan) * wider * file_entries:
             wider *= 2
         size = (1 << 32) // wider
         # A file goes to each share of the new run that lies in its own; a share has one file of each run.
-        share = F.explode(F.transform(F.sequence(F.lit(0), F.lit(wider // shares - 1)), lambda k: F.col("lo") + k * F.lit(size))).alias("lo")
+        share = F.explode(F.transform(F.sequence(F.lit(0), F.lit(wider // shares - 1)), lambda k: F.col("lo") + k * F.lit(size).cast("bigint"))).alias("lo")
         jobs = files.select(F.floor(F.col("run") / fan).cast("bigint").alias("run"), "path", share).groupBy("run", "lo").agg(F.collect_list("path").alias("paths"))
-        jobs = jobs.select(F.lit(level).alias("level"), "run", "lo", (F.col("lo") + F.lit(size)).alias("hi"), "paths")
+        jobs = jobs.select(F.lit(level).alias("level"), "run", "lo", (F.col("lo") + F.lit(size).cast("bigint")).alias("hi"), "paths")
         files = written(jobs.repartition(tasks, "run", "lo").transform(bounded_batches).mapInArrow(work, FILES), "exact-level")
         shares = wider
 
@@ -265,7 +265,7 @@ def lookup(files: DataFrame, digests: DataFrame) -> DataFrame:
     size = files.agg(F.max(F.col("hi") - F.col("lo"))).first()[0] or 1 << 32
     at = F.conv(F.rpad(F.substring(F.hex(digests.columns[0]), 1, 8), 8, "0"), 16, 10).cast("bigint")
     tasks = max(1, int(files.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    pairs = digests.select(F.col(digests.columns[0]).alias("digest"), (at - at % F.lit(size)).alias("lo")).join(files.select("lo", "path"), "lo")
+    pairs = digests.select(F.col(digests.columns[0]).alias("digest"), (at - at % F.lit(size).cast("bigint")).alias("lo")).join(files.select("lo", "path"), "lo")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         r = None

@@ -182,7 +182,8 @@ def test_exact_index(spark, odd_rows):
     asked = spark.createDataFrame([(digest(b"same text"),), (digest(b"one"),), (digest(b"no such text"),)], "d binary")
     found = exact_dedup.lookup(files, asked).collect()
     assert sum(r["group_size"] for r in found if bytes(r["digest"]) == digest(b"same text")) == 3
-    merged = exact_dedup.compact(files, fan=2)
+    merged = exact_dedup.compact(files, fan=2, file_entries=3)
+    assert merged.count() > 4
     assert merged.agg(F.countDistinct("run")).first()[0] == 1
     assert {(bytes(r["digest"]), r["keep_id"], r["group_size"]) for r in exact_dedup.lookup(merged, asked).collect()} == {(bytes(digest(b"same text")), 30, 3), (bytes(digest(b"one")), 3, 4)}
     every = exact_dedup.entries(merged).collect()
