@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import gc
 import os
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from contextlib import contextmanager
 from urllib.parse import urlsplit
 
@@ -78,16 +78,39 @@ def ascii_lower(text: Column) -> Column:
     return F.when(plain, F.lower(text)).otherwise(slow)
 
 
-#: Bytes of a key filter at most, and its hash functions. Sixteen bits a key let through one stranger in 400.
+#: Bytes of a key filter at most, its hash functions, and bits a key: sixteen let through one stranger in 400.
 FILTER_BYTES, FILTER_HASHES, FILTER_BITS = 16 << 20, 4, 16
 
 
-def key_filter(keys: DataFrame, *, max_bytes: int = FILTER_BYTES) -> Callable[[Column], Column]:
-    """A test (bigint column to boolean) that holds for every key in `keys` (one bigint column) and for few others.
+class KeyFilter:
+    """A Bloom filter of bigint keys that are hashes, for use in column expressions and in workers."""
 
-    A Bloom filter of at most max_bytes, however many keys there are: set
-    bits are grouped into words on the executors, and the words, as many as
-    fit max_bytes, are all that reaches the driver and goes out again. With
+    def __init__(self, bits, words: int):
+        self.bits, self.words = bits, words
+
+    def holds(self, keys: np.ndarray) -> np.ndarray:
+        """True for every key that is in, and for few others."""
+        table = np.frombuffer(self.bits.value, dtype=np.int64)
+        low, high = keys & 0xFFFFFFFF, ((keys >> 32) & 0xFFFFFFFF) | 1
+        out = np.ones(len(keys), dtype=bool)
+        for k in range(FILTER_HASHES):
+            at = (low + k * high) % (self.words * 64)
+            out &= ((table[at >> 6] >> (at & 63)) & 1).astype(bool)
+        return out
+
+    def __call__(self, key: Column) -> Column:
+        @F.arrow_udf("boolean")
+        def may_be_in(keys: pa.Array) -> pa.Array:
+            return pa.array(self.holds(keys.to_numpy(zero_copy_only=False)))
+
+        return may_be_in(key)
+
+
+def key_filter(keys: DataFrame, *, max_bytes: int = FILTER_BYTES) -> KeyFilter:
+    """A filter of at most max_bytes of the keys (one bigint column of hashes without nulls), however many there are.
+
+    Set bits are grouped into words on the executors, and the words, as many
+    as fit max_bytes, are all that reaches the driver and goes out again. With
     more keys than it is made for it only lets more strangers through, so it
     may stand before a shuffle but never in place of a join.
     """
@@ -96,23 +119,13 @@ def key_filter(keys: DataFrame, *, max_bytes: int = FILTER_BYTES) -> Callable[[C
     words = 1 << 6
     while words * 64 < n * FILTER_BITS and words * 8 < max_bytes:
         words *= 2
-    bit = F.explode(F.transform(F.sequence(F.lit(0), F.lit(FILTER_HASHES - 1)), lambda k: F.pmod(F.xxhash64(F.col(name), k), F.lit(words * 64)))).alias("b")
-    mask = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod(F.col("b"), F.lit(64)).cast("int"))
+    low, high = F.col(name).bitwiseAND(F.lit(0xFFFFFFFF)), F.call_function("shiftrightunsigned", F.col(name), F.lit(32)).bitwiseOR(F.lit(1))
+    bit = F.explode(F.array(*((low + F.lit(k) * high) % F.lit(words * 64) for k in range(FILTER_HASHES)))).alias("b")
+    mask = F.call_function("shiftleft", F.lit(1).cast("bigint"), (F.col("b") % 64).cast("int"))
     rows = keys.select(bit).groupBy(F.call_function("shiftright", "b", F.lit(6)).alias("w")).agg(F.bit_or(mask).alias("m")).toArrow()
     bits = np.zeros(words, dtype=np.int64)
     bits[rows.column("w").to_numpy()] = rows.column("m").to_numpy()
-    held = spark.sparkContext.broadcast(bits.tobytes())
-
-    @F.arrow_udf("boolean")
-    def may_be_in(places: pa.Array) -> pa.Array:
-        table = np.frombuffer(held.value, dtype=np.int64)
-        p = places.flatten().to_numpy().reshape(len(places), FILTER_HASHES)
-        return pa.array(((table[p >> 6] >> (p & 63)) & 1).all(axis=1))
-
-    def test(key: Column) -> Column:
-        return may_be_in(F.array(*(F.pmod(F.xxhash64(key, F.lit(k)), F.lit(words * 64)) for k in range(FILTER_HASHES))))
-
-    return test
+    return KeyFilter(spark.sparkContext.broadcast(bits.tobytes()), words)
 
 
 #: Columns that tell documents apart: rows that agree in id and text (null unlike empty) are one document given twice.

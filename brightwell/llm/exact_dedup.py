@@ -20,7 +20,9 @@ from collections.abc import Iterator
 from heapq import merge
 from itertools import groupby
 
+import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -323,24 +325,24 @@ def _collisions(documents: DataFrame, hits: DataFrame, keep: str, digest_bytes:
     text of each digest (and any other that differs), so of a group of copies
     as many texts move as there are tasks.
     """
-    test = key_filter(hits.select(F.xxhash64("digest").alias("k")))
+    known = key_filter(hits.select(F.xxhash64("digest").alias("k")))
     texts = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.encode("text", "UTF-8").alias("t"))
     schema = pa.schema([("digest", pa.binary()), ("t", pa.binary())])
 
-    def digest_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            ts = list(map(normalise, b.column(1).to_pylist()))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([hashlib.sha256(t).digest()[:digest_bytes] for t in ts], pa.binary()), pa.array(ts, pa.binary())], names=["doc_id", "digest", "t"])
-
-    keyed = texts.transform(bounded_batches).mapInArrow(digest_of, "doc_id bigint, digest binary, t binary")
-    some = keyed.where(test(F.xxhash64("digest"))).select("digest", "t")
+    def suspects(batch: pa.RecordBatch) -> Iterator[tuple[int | None, bytes, bytes]]:
+        ts = list(map(normalise, batch.column(1).to_pylist()))
+        ds = [hashlib.sha256(t).digest()[:digest_bytes] for t in ts]
+        # As Spark's xxhash64 of a binary.
+        keys = np.fromiter((xxhash.xxh64_intdigest(d, 42) for d in ds), dtype=np.uint64, count=len(ds)).view(np.int64)
+        for k in np.nonzero(known.holds(keys))[0]:
+            yield batch.column(0)[k].as_py(), ds[k], ts[k]
 
     def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[bytes, set[bytes]] = {}
         size = 0
         out = lambda: pa.RecordBatch.from_pylist([{"digest": d, "t": t} for d, ts in held.items() for t in sorted(ts)], schema=schema)
         for b in batches:
-            for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            for _, d, t in suspects(b):
                 own = held.setdefault(d, set())
                 if t not in own:  # compares bytes
                     own.add(t)
@@ -351,10 +353,16 @@ def _collisions(documents: DataFrame, hits: DataFrame, keep: str, digest_bytes:
                 size = 0
         yield out()
 
-    seen = some.transform(bounded_batches).mapInArrow(distinct, "digest binary, t binary")
+    seen = texts.transform(bounded_batches).mapInArrow(distinct, "digest binary, t binary")
     unequal = written(seen.groupBy("digest").agg(F.min("t").alias("a"), F.max("t").alias("b")).where("a <> b").select("digest"), "exact-unequal")
     if unequal.isEmpty():
         return None
+
+    def every(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_pylist([dict(zip(("doc_id", "digest", "t"), row)) for row in suspects(b)], schema=pa.schema([("doc_id", pa.int64()), *schema]))
+
+    keyed = texts.transform(bounded_batches).mapInArrow(every, "doc_id bigint, digest binary, t binary")
     rows = written(keyed.join(unequal, "digest"), "exact-unequal-texts")
     best = F.min("doc_id") if keep == "min" else F.max("doc_id")
     groups = rows.groupBy("digest", "t").agg(best.alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
