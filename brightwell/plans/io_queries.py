@@ -9,8 +9,7 @@ from ..streaming import events as ev
 from .registry import query, read, rounded
 
 # A training log made from order lines: a header for each third line, then a result.
-_LOG = "SELECT l_orderkey * 10 + l_linenumber AS ord, l_partkey, l_quantity, l_extendedprice FROM lineitem WHERE l_orderkey < 300 QUALIFY row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey, l_quantity, l_extendedprice) = 1"
-_WHOLE_LOG = _LOG.replace("WHERE l_orderkey < 300 ", "")
+_LOG = "SELECT l_orderkey * 10 + l_linenumber AS ord, l_partkey, l_quantity, l_extendedprice FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey, l_quantity, l_extendedprice) = 1"
 
 
 def _log_lines(lineitem):
@@ -27,14 +26,6 @@ def _log_lines(lineitem):
     SELECT ord, 1 AS run, (ord % 100)::INTEGER AS epoch, l_quantity AS loss, 0.001::DOUBLE AS lr, l_quantity / 2 AS valid, l_quantity / 4 AS test, metric FROM h WHERE ord % 3 <> 0"""
 )
 def training_log(spark, sf):
-    return readers.training_log(_log_lines(read(spark, sf, "lineitem").where("l_orderkey < 300")))
-
-
-@query(
-    f"""WITH l AS ({_WHOLE_LOG}), h AS (SELECT *, last_value(CASE WHEN ord % 3 = 0 THEN 'Hits@' || (l_partkey % 50) END IGNORE NULLS) OVER (ORDER BY ord ROWS UNBOUNDED PRECEDING) AS metric FROM l)
-    SELECT ord, 1 AS run, (ord % 100)::INTEGER AS epoch, l_quantity AS loss, 0.001::DOUBLE AS lr, l_quantity / 2 AS valid, l_quantity / 4 AS test, metric FROM h WHERE ord % 3 <> 0"""
-)
-def training_log_whole(spark, sf):
     return readers.training_log(_log_lines(read(spark, sf, "lineitem")))
 
 
@@ -94,13 +85,8 @@ def page_list(spark, sf):
     return writers.page_list(docs, pages).select("doc_id", F.array_join("markdown_pages", "|").alias("pages"))
 
 
-@query("SELECT doc_id, unnest(string_split(text, '. ')) AS markdown, generate_subscripts(string_split(text, '. '), 1)::INTEGER AS page_no FROM documents WHERE doc_id < 50")
-def split_pages(spark, sf):
-    return writers.split_pages(read(spark, sf, "documents").where("doc_id < 50"), ". ")
-
-
 @query("SELECT doc_id, unnest(string_split(text, '. ')) AS markdown, generate_subscripts(string_split(text, '. '), 1)::INTEGER AS page_no FROM documents")
-def split_pages_whole(spark, sf):
+def split_pages(spark, sf):
     return writers.split_pages(read(spark, sf, "documents"), ". ")
 
 
@@ -135,7 +121,7 @@ def image_list(spark, sf):
 
 @query("SELECT event_id, regexp_replace(trim(event_type || ' ' || props), ' +', ' ', 'g') AS text FROM events WHERE event_id % 10 = 0")
 def page_lines(spark, sf):
-    e = read(spark, sf, "events").where("event_id % 10 < 2").select("event_id", F.concat(F.lit("  "), "event_type", F.lit("  "), "props").alias("text"), (F.col("event_id") % 10).alias("kind"))
+    e = read(spark, sf, "events").select("event_id", F.concat(F.lit("  "), "event_type", F.lit("  "), "props").alias("text"), (F.col("event_id") % 10).alias("kind"))
     return readers.page_lines(e)
 
 

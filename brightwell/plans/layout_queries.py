@@ -54,10 +54,12 @@ def garble_flags(spark, sf):
     return d.select("doc_id", "pos", tx.is_garbled(F.col("line")).alias("garbled"))
 
 
-@query("SELECT source AS doc_id, doc_id AS page_no, sum(length(regexp_replace(regexp_replace(coalesce(text, ''), '^\\s+', ''), '\\s+$', '')))::BIGINT AS chars FROM documents GROUP BY 1, 2")
+@query("SELECT source AS doc_id, doc_id AS page_no, (sum(length(regexp_replace(regexp_replace(coalesce(text, ''), '^\\s+', ''), '\\s+$', ''))) + sum(length(lang)) + 5 * count(*))::BIGINT AS chars FROM documents GROUP BY 1, 2")
 def char_counts(spark, sf):
     d = read(spark, sf, "documents").select(F.col("source").alias("doc_id"), F.col("doc_id").alias("page_no"), "text", F.lit("text").alias("label"))
-    return layout.native_chars(d, d.limit(0))
+    # A table cell on each page.
+    cells = read(spark, sf, "documents").select(F.col("source").alias("doc_id"), F.col("doc_id").alias("page_no"), F.concat(F.lit("  cell "), "lang", F.lit(" ")).alias("text"))
+    return layout.native_chars(d, cells)
 
 
 @query("SELECT s_suppkey % 7 AS doc_id, s_suppkey AS page_no FROM supplier WHERE abs(s_acctbal) / 10 >= 400 * 0.8")
@@ -200,18 +202,6 @@ def _authors(events):
     return layout.reorder_authors(e).select("doc_id", "ref", "ord")
 
 
-@query(
-    f"""WITH e AS ({_FIRST}), h AS (SELECT doc_id, ref, y FROM e WHERE label = 'section_header' QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY y DESC, ord) <= 2),
-    b AS (SELECT doc_id, arg_max(ref, y) AS title, max(y) AS hi, min(y) AS lo FROM h GROUP BY 1 HAVING count(*) = 2 AND max(y) > min(y)),
-    m AS (SELECT e.doc_id, ref, title, y, l FROM e JOIN b USING (doc_id) WHERE label = 'text' AND y > lo AND y < hi), k AS (SELECT doc_id FROM m GROUP BY 1 HAVING count(*) >= 2 AND max(l) - min(l) >= 60),
-    p AS (SELECT doc_id, ref, title, row_number() OVER (PARTITION BY doc_id ORDER BY -round_even(y / 16, 0), l) AS place FROM m WHERE doc_id IN (SELECT doc_id FROM k)),
-    q AS (SELECT e.doc_id, e.ref, coalesce(t.ord, e.ord) AS a, coalesce(p.place, 0) AS c FROM e LEFT JOIN p USING (doc_id, ref) LEFT JOIN e t ON t.doc_id = p.doc_id AND t.ref = p.title)
-    SELECT doc_id, ref, (row_number() OVER (PARTITION BY doc_id ORDER BY a, c, ref) - 1)::INTEGER AS ord FROM q"""
-)
-def reorder_authors(spark, sf):
-    return _authors(read(spark, sf, "events").where("event_id % 4 = 0"))
-
-
 @query(
     f"""WITH e AS ({_FIRST_WHOLE}), h AS (SELECT doc_id, ref, y FROM e WHERE label = 'section_header' QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY y DESC, ord) <= 2),
     b AS (SELECT doc_id, arg_max(ref, y) AS title, max(y) AS hi, min(y) AS lo FROM h GROUP BY 1 HAVING count(*) = 2 AND max(y) > min(y)),
@@ -220,7 +210,7 @@ def reorder_authors(spark, sf):
     q AS (SELECT e.doc_id, e.ref, coalesce(t.ord, e.ord) AS a, coalesce(p.place, 0) AS c FROM e LEFT JOIN p USING (doc_id, ref) LEFT JOIN e t ON t.doc_id = p.doc_id AND t.ref = p.title)
     SELECT doc_id, ref, (row_number() OVER (PARTITION BY doc_id ORDER BY a, c, ref) - 1)::INTEGER AS ord FROM q"""
 )
-def reorder_authors_whole(spark, sf):
+def reorder_authors(spark, sf):
     return _authors(read(spark, sf, "events"))
 
 
@@ -268,22 +258,12 @@ def split_columns(spark, sf):
     return layout.split_columns(e, rows)
 
 
-_CLUSTER = "SELECT user_id, (event_id * 37 % 400)::DOUBLE AS x0 FROM events WHERE event_id % 20 = 0"
-
-
 @query(
-    f"""WITH RECURSIVE x AS (SELECT user_id, x0, row_number() OVER (PARTITION BY user_id ORDER BY x0) AS k FROM ({_CLUSTER})),
-    w AS (SELECT user_id, k, x0 AS start, 0 AS col FROM x WHERE k = 1 UNION ALL SELECT x.user_id, x.k, CASE WHEN x.x0 - w.start <= 40 THEN w.start ELSE x.x0 END, CASE WHEN x.x0 - w.start <= 40 THEN w.col ELSE w.col + 1 END FROM w JOIN x ON x.user_id = w.user_id AND x.k = w.k + 1)
-    SELECT user_id, col::INTEGER AS col, any_value(start) AS x0, count(*)::INTEGER AS n FROM w GROUP BY 1, 2"""
+    """WITH x AS (SELECT user_id, (event_id * 37 % 400)::DOUBLE AS x0 FROM events), l AS (SELECT user_id, list_sort(list_distinct(list(x0))) AS xs FROM x GROUP BY 1),
+    s AS (SELECT user_id, list_reduce(xs, lambda a, e: CASE WHEN e - a[len(a)] <= 40 THEN a ELSE list_append(a, e) END, [xs[1]]) AS starts FROM l)
+    SELECT user_id, (len(list_filter(starts, lambda e: e <= x0)) - 1)::INTEGER AS col, min(x0) AS x0, count(*)::INTEGER AS n FROM x JOIN s USING (user_id) GROUP BY 1, 2"""
 )
 def cluster_columns(spark, sf):
-    e = read(spark, sf, "events").where("event_id % 20 = 0").select("user_id", (F.col("event_id") * 37 % 400).cast("double").alias("x0"))
-    return layout.cluster_columns(e, ["user_id"])
-
-
-@query()
-def cluster_columns_whole(spark, sf):
-    """All events; the recursive SQL is too slow for them."""
     return layout.cluster_columns(read(spark, sf, "events").select("user_id", (F.col("event_id") * 37 % 400).cast("double").alias("x0")), ["user_id"])
 
 
@@ -295,10 +275,20 @@ def fill_table_cells(spark, sf):
     return layout.fill_cells(cells, layout.html_grids(html))
 
 
-@query("SELECT page_id::VARCHAR AS table_ref, len(regexp_extract_all(html, '(?i)<tr[ >]')) AS n_rows FROM pages")
+@query(
+    """WITH r AS (SELECT s_nationkey::VARCHAR AS table_ref, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) - 1 AS k, s_name, s_suppkey FROM supplier),
+    c AS (SELECT table_ref, k, 0 AS col, s_name || ' & co' AS text FROM r UNION ALL SELECT table_ref, k, 1, s_suppkey::VARCHAR FROM r WHERE s_suppkey % 3 <> 0)
+    SELECT table_ref, k::INTEGER AS row, col, text FROM c"""
+)
 def html_outline(spark, sf):
-    grids = layout.html_grids(read(spark, sf, "pages").select(F.col("page_id").cast("string").alias("table_ref"), "html"))
-    return grids.select("table_ref", F.size("grid").cast("bigint").alias("n_rows"))
+    """A table of each nation's suppliers: entities, marks inside cells, comments and unclosed cells."""
+    key = F.col("s_suppkey")
+    second = F.when(key % 3 == 0, F.lit("<td>open<!-- <td>x</td> -->")).otherwise(F.concat(F.lit("<TD class='n'> <i>"), key, F.lit("</i></TD >")))
+    row = F.concat(F.lit("<tr id=r><th> "), "s_name", F.lit(" &amp; co</th>"), second, F.lit("</tr><tr></tr>"))
+    made = read(spark, sf, "supplier").select(F.col("s_nationkey").cast("string").alias("table_ref"), key, row.alias("row"))
+    html = made.groupBy("table_ref").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("s_suppkey", "row"))), lambda r: r["row"]), "").alias("html"))
+    grids = layout.html_grids(html)
+    return grids.select("table_ref", F.posexplode("grid").alias("row", "cells")).select("table_ref", "row", F.posexplode("cells").alias("col", "text"))
 
 
 @query("SELECT p_partkey, 'title' AS label, 0.0::DOUBLE AS l, 1.0::DOUBLE AS r, round(p_size / 999.0::DOUBLE, 6) AS b, p_name AS text FROM part UNION ALL SELECT p_partkey, 'text', round(5 / 999.0::DOUBLE, 6), round(500.5 / 999.0::DOUBLE, 6), 1.0, p_brand FROM part")
@@ -325,21 +315,29 @@ def byte_level_decode(spark, sf):
     return read(spark, sf, "documents").select("doc_id", tx.byte_level_decode(coded).alias("text"))
 
 
-@query("SELECT doc_id, regexp_replace(text, '[|@#!¡·$€%&()=?¿^*;:,¨´><+]', '_', 'g') AS safe, octet_length(encode(text)) = length(text) AS ascii, regexp_matches(text, '[一-鿿]') AS chinese, split_part(text, ' de ', -1) AS tail FROM (SELECT doc_id, left(text, 300) AS text FROM documents)")
+@query("SELECT doc_id, regexp_replace(text, '[|@#!¡·$€%&()=?¿^*;:,¨´><+]', '_', 'g') AS safe, octet_length(encode(text)) = length(text) AS ascii, regexp_matches(text, '[一-鿿]') AS chinese, regexp_replace(regexp_replace(split_part(text, ' de ', -1), '^\\s+', ''), '\\s+$', '') AS tail FROM documents")
 def text_helpers(spark, sf):
-    d = read(spark, sf, "documents").select("doc_id", F.substring("text", 1, 300).alias("text"))
-    t = F.col("text")
-    return d.select("doc_id", tx.safe_name(t).alias("safe"), tx.is_ascii(t).alias("ascii"), tx.has_chinese(t).alias("chinese"), F.element_at(F.split(t, F.lit(" de ")), -1).alias("tail"))
-
-
-@query("SELECT doc_id, regexp_replace(text, '[|@#!¡·$€%&()=?¿^*;:,¨´><+]', '_', 'g') AS safe, octet_length(encode(text)) = length(text) AS ascii, regexp_matches(text, '[一-鿿]') AS chinese, split_part(text, ' de ', -1) AS tail FROM documents")
-def text_helpers_whole(spark, sf):
-    """The helpers of text_helpers over whole texts."""
     t = F.col("text")
-    return read(spark, sf, "documents").select("doc_id", tx.safe_name(t).alias("safe"), tx.is_ascii(t).alias("ascii"), tx.has_chinese(t).alias("chinese"), F.element_at(F.split(t, F.lit(" de ")), -1).alias("tail"))
+    return read(spark, sf, "documents").select("doc_id", tx.safe_name(t).alias("safe"), tx.is_ascii(t).alias("ascii"), tx.has_chinese(t).alias("chinese"), tx.answer_after(t, " de ").alias("tail"))
 
 
-@query(f"WITH e AS ({ELEMENTS}), c AS (SELECT doc_id, page_no, sum(length(text)) AS n FROM e WHERE label <> 'formula' GROUP BY 1, 2) SELECT doc_id, page_no, n >= 12 AND page_no % 4 <> 0 AS digital FROM c")
+@query(
+    f"""WITH e AS ({ELEMENTS}), c AS (SELECT doc_id, page_no, sum(CASE WHEN label <> 'formula' THEN length(text) ELSE 0 END) + sum(CASE WHEN kind = 'table' THEN 4 ELSE 0 END) AS n FROM e GROUP BY 1, 2 HAVING bool_or(label <> 'formula'))
+    SELECT doc_id, page_no, n >= 12 AND page_no % 4 <> 0 AS digital FROM c"""
+)
 def skip_ocr(spark, sf):
+    """Each table has a cell of four characters."""
     e = elements(spark, sf)
-    return layout.skip_ocr(e, e.limit(0).select("doc_id", "page_no", "text"), e.where("page_no % 4 = 0").select("doc_id", "page_no").distinct(), 12)
+    cells = e.where("kind = 'table'").select("doc_id", "page_no", F.lit(" cell ").alias("text"))
+    return layout.skip_ocr(e, cells, e.where("page_no % 4 = 0").select("doc_id", "page_no").distinct(), 12)
+
+
+@query(
+    f"""WITH f AS (SELECT doc_id, page_no, ord, row_number() OVER (PARTITION BY doc_id ORDER BY page_no, ord) AS n FROM ({ELEMENTS}) WHERE label <> 'table'), g AS (SELECT *, (n - 1) // 8 AS g FROM f WHERE n <= 60),
+    b AS (SELECT doc_id, g, sum(sum(0.5)) OVER (PARTITION BY doc_id ORDER BY g) - sum(0.5) AS spent FROM g GROUP BY 1, 2)
+    SELECT g.doc_id, page_no, ord FROM g JOIN b USING (doc_id, g) WHERE spent <= 22"""
+)
+def cap_formulas(spark, sf):
+    """At most 60 formulas a document, in batches of 8 that begin within 22 seconds at half a second each."""
+    f = elements(spark, sf).where("label <> 'table'").select("doc_id", "page_no", "ord", F.lit(0.5).alias("took"))
+    return layout.cap_formulas(f, 60, batch=8, seconds=22.0).select("doc_id", "page_no", "ord")
