@@ -107,10 +107,11 @@ def number_images(messages: DataFrame) -> DataFrame:
     """
     from pyspark.sql import Window as W
 
+    from ..ranges import running
+
     own = F.when(F.col("role") == "user", F.col("n_images")).otherwise(0)
     totals = messages.groupBy("input").agg(F.sum(own).alias("k"))
-    # One row for each input.
-    start = totals.withColumn("before", F.coalesce(F.sum("k").over(W.orderBy("input").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).select("input", "before")
+    start = running(totals, ["input"], value="k").select("input", (F.col("cum") - F.col("k")).alias("before"))
     upto = F.sum(own).over(W.partitionBy("input").orderBy("ord").rowsBetween(W.unboundedPreceding, 0))
     out = messages.join(start, "input").withColumn("upto", upto)
     marks = F.array_join(F.transform(F.sequence(F.lit(1).cast("bigint"), F.col("upto")), lambda n: F.concat(F.lit("<|image_"), (n + F.col("before")).cast("string"), F.lit("|>\n"))), "")

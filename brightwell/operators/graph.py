@@ -13,6 +13,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ..ranges import running
+from ..shared import written
+
 #: Modulus of the hash family h(x) = (a * x + b) mod P.
 P = 2147483647
 #: Stands for "no neighbour" in a sketch.
@@ -20,8 +23,9 @@ NO_HASH = 4294967295
 
 
 def affine(x: Column, a: int, b: int) -> Column:
-    """(a * x + b) mod P for ids below 2^31."""
-    return (F.lit(a).cast("bigint") * x + F.lit(b).cast("bigint")) % F.lit(P).cast("bigint")
+    """(a * (x mod P) + b) mod P, for a and b below P and any id."""
+    p = F.lit(P).cast("bigint")
+    return (F.lit(a).cast("bigint") * F.pmod(x.cast("bigint"), p) + F.lit(b).cast("bigint")) % p
 
 
 def hash_family(k: int, seed: int = 1) -> list[tuple[int, int]]:
@@ -35,13 +39,23 @@ def hash_family(k: int, seed: int = 1) -> list[tuple[int, int]]:
     return out
 
 
-def co_occurrence(rows: DataFrame, group: str, item: str) -> DataFrame:
-    """Undirected edges (src < dst, w): items that share a group, w groups in common."""
-    one = rows.select(F.col(group).alias("g"), F.col(item).alias("i")).distinct()
-    return (
-        one.withColumnRenamed("i", "src").join(one.withColumnRenamed("i", "dst"), "g").where("src < dst")
-        .groupBy("src", "dst").agg(F.count(F.lit(1)).cast("double").alias("w"))
-    )
+#: Items of a group that co_occurrence takes; as it links each pair, twice as many make four times the edges.
+MAX_GROUP = 10_000
+
+
+def co_occurrence(rows: DataFrame, group: str, item: str, *, max_group: int = MAX_GROUP) -> DataFrame:
+    """Undirected edges (src < dst, w): items that share a group, w groups in common.
+
+    Every pair of a group is an edge by definition, so a group of more than
+    max_group different items is an error, not a plan that never ends. One
+    shuffle by group gathers its items, pairs are streamed from the array.
+    """
+    sets = rows.where(F.col(group).isNotNull() & F.col(item).isNotNull()).groupBy(F.col(group).alias("g")).agg(F.collect_set(item).alias("items"))
+    message = F.format_string(f"a group of %d items, more than {max_group}", F.size("items"))
+    sets = sets.select(F.when(F.size("items") > max_group, F.raise_error(message)).otherwise(F.array_sort("items")).alias("items"))
+    firsts = sets.select("items", F.posexplode("items").alias("at", "src")).select("src", F.slice("items", F.col("at") + 2, F.size("items")).alias("rest"))
+    pairs = firsts.select("src", F.explode("rest").alias("dst"))
+    return pairs.groupBy("src", "dst").agg(F.count(F.lit(1)).cast("double").alias("w"))
 
 
 def canonical_edges(edges: DataFrame) -> DataFrame:
@@ -75,28 +89,30 @@ def structural_features(adj: DataFrame, pairs: DataFrame) -> DataFrame:
 
     aa weighs a common neighbour by 1/ln(max(deg, 2)), ra by 1/max(deg, 1).
     Pairs without common neighbours keep their degrees; unknown nodes have 0.
-    The adjacency and the degrees are read several times and are persisted;
-    the session's clearCache() lets go of them.
+    A pair is expanded from its endpoint of lower degree, so a hub's rows are
+    only probed. The adjacency and the degrees are read several times and are
+    written.
     """
-    adj = adj.persist()
-    deg = degrees(adj).persist()
-    near = adj.select(F.col("src").alias("u"), F.col("dst").alias("k"), F.col("w").alias("wu"))
-    far = adj.select(F.col("src").alias("v"), F.col("dst").alias("k"), F.col("w").alias("wv"))
+    adj = written(adj.select("src", "dst", "w"), "adjacency")
+    deg = written(degrees(adj), "degrees")
+    both = (
+        pairs.select("u", "v").join(deg.select(F.col("id").alias("u"), F.col("deg").cast("double").alias("deg_i")), "u", "left")
+        .join(deg.select(F.col("id").alias("v"), F.col("deg").cast("double").alias("deg_j")), "v", "left").na.fill(0.0, ["deg_i", "deg_j"])
+    )
+    first = F.col("deg_i") <= F.col("deg_j")
+    ends = both.select("u", "v", F.when(first, F.col("u")).otherwise(F.col("v")).alias("s"), F.when(first, F.col("v")).otherwise(F.col("u")).alias("t")).distinct()
+    near = adj.select(F.col("src").alias("s"), F.col("dst").alias("k"), F.col("w").alias("ws"))
+    far = adj.select(F.col("src").alias("t"), F.col("dst").alias("k"), F.col("w").alias("wt"))
     by = deg.select(F.col("id").alias("k"), F.col("deg").cast("double").alias("dk"))
     common = (
-        pairs.select("u", "v").distinct().join(near, "u").join(far, ["v", "k"]).join(by, "k")
+        ends.join(near, "s").join(far, ["t", "k"]).join(by, "k")
         .groupBy("u", "v").agg(
             F.count(F.lit(1)).cast("double").alias("cn"), F.sum(1 / F.log(F.greatest("dk", F.lit(2.0)))).alias("aa"),
-            F.sum(1 / F.greatest("dk", F.lit(1.0))).alias("ra"), F.sum(F.col("wu") * F.col("wv")).alias("wcn"),
+            F.sum(1 / F.greatest("dk", F.lit(1.0))).alias("ra"), F.sum(F.col("ws") * F.col("wt")).alias("wcn"),
             F.sum("dk").alias("cn_deg_sum"), F.min("dk").alias("cn_deg_min"),
         )
     )
-    out = (
-        pairs.select("u", "v").join(common, ["u", "v"], "left")
-        .join(deg.select(F.col("id").alias("u"), F.col("deg").cast("double").alias("deg_i")), "u", "left")
-        .join(deg.select(F.col("id").alias("v"), F.col("deg").cast("double").alias("deg_j")), "v", "left")
-        .na.fill(0.0)
-    )
+    out = both.join(common, ["u", "v"], "left").na.fill(0.0, ["cn", "aa", "ra", "wcn", "cn_deg_sum", "cn_deg_min"])
     union = F.col("deg_i") + F.col("deg_j") - F.col("cn")
     out = out.withColumn("log_pa", F.log1p(F.col("deg_i") * F.col("deg_j"))).withColumn("jaccard", F.when(union > 0, F.col("cn") / union).otherwise(0.0))
     return out.select("u", "v", "cn", "aa", "ra", "log_pa", "jaccard", "wcn", "cn_deg_sum", "cn_deg_min", "deg_i", "deg_j")
@@ -106,13 +122,14 @@ def minhash(nodes: DataFrame, adj: DataFrame, *, hops: int = 2, family: Sequence
     """MinHash of closed neighbourhoods: id and columns s{hop}_{k}.
 
     Hop 0 hashes the node itself; each hop takes the minimum over the node
-    and its neighbours. Wide columns keep the minimum in code-generated
-    partial aggregates.
+    and its neighbours, in partial aggregates before the shuffle. Up to some
+    30 functions a hop's columns stay in generated code
+    (spark.sql.codegen.maxFields is 100); more are aggregated without it.
     """
     family = hash_family(128) if family is None else family
     k = len(family)
     sig = nodes.select("id", *(affine(F.col("id"), a, b).alias(f"s0_{j}") for j, (a, b) in enumerate(family)))
-    links = adj.select("src", "dst").persist()  # read at each hop
+    links = written(adj.select("src", "dst"), "links")  # read at each hop
     for hop in range(1, hops + 1):
         around = links.join(sig.select(F.col("id").alias("dst"), *(f"s{hop - 1}_{j}" for j in range(k))), "dst")
         least = around.groupBy(F.col("src").alias("id")).agg(*(F.min(f"s{hop - 1}_{j}").alias(f"m_{j}") for j in range(k)))
@@ -152,7 +169,7 @@ def normalized_adjacency(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 def diffuse(features: DataFrame, norm: DataFrame, hops: int = 2, *, checkpoint=None) -> list[DataFrame]:
     """[H, AH, ..., A^hops H] for features (id, numeric columns). checkpoint, if given, cuts lineage after each hop."""
     names = [c for c in features.columns if c != "id"]
-    norm = norm.persist()  # read at each hop
+    norm = written(norm, "norm")  # read at each hop
     out, now = [features], features
     for _ in range(hops):
         msg = norm.join(now.withColumnRenamed("id", "src"), "src")
@@ -185,33 +202,31 @@ def hadamard(features: DataFrame, pairs: DataFrame) -> DataFrame:
     return pairs.select("u", "v").join(a, "u").join(b, "v").select("u", "v", *((F.col(f"a_{c}") * F.col(f"b_{c}")).alias(c) for c in names))
 
 
-def bfs_subgraph(adj: DataFrame, n: int, *, levels: int = 50, checkpoint=None) -> DataFrame:
+def bfs_subgraph(adj: DataFrame, n: int) -> DataFrame:
     """(id, pos): the first n nodes of a breadth-first search from the node of highest degree (smallest id on ties).
 
     Neighbours are visited by ascending id, nodes leave the queue in the order
-    they entered it. One round a level; a level is ranked by its nodes only,
-    of which there are at most n that count.
+    they entered it. One round a level, until there are n nodes or no new
+    ones; a level is ranked by its nodes only, of which at most n count. Each
+    level is written, so the plan does not grow with them.
     """
-    adj = adj.persist()  # read at each level
-    seed = degrees(adj).orderBy(F.desc("deg"), "id").limit(1).select("id", F.lit(0).cast("bigint").alias("pos"))
-    seen, level, have = seed, seed, 1
-    for _ in range(levels):
-        if have >= n:
-            break
+    adj = written(adj.select("src", "dst"), "links")  # read at each level
+    seen = written(degrees(adj).orderBy(F.desc("deg"), "id").limit(1).select("id", F.lit(0).cast("bigint").alias("pos")), "bfs")
+    level, have = seen, seen.count()
+    while have < n:
         near = level.join(adj.select(F.col("src").alias("id"), F.col("dst").alias("next")), "id").groupBy("next").agg(F.min("pos").alias("parent"))
         new = near.join(seen.select(F.col("id").alias("next")), "next", "left_anti").orderBy("parent", "next").limit(n - have)
-        level = new.select(F.col("next").alias("id"), (F.row_number().over(W.orderBy("parent", "next")) + have - 1).cast("bigint").alias("pos"))
-        level = checkpoint(level) if checkpoint else level.cache()
+        level = written(new.select(F.col("next").alias("id"), (F.row_number().over(W.orderBy("parent", "next")) + have - 1).cast("bigint").alias("pos")), "bfs")
         got = level.count()
         if not got:
             break
-        seen, have = seen.unionByName(level), have + got
+        seen, have = written(seen.unionByName(level), "bfs"), have + got
     return seen
 
 
 def induced_subgraph(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """Edges with both ends among the nodes, as dense indices (src_idx, dst_idx) by ascending id."""
-    idx = nodes.select("id", (F.row_number().over(W.orderBy("id")) - 1).cast("bigint").alias("idx"))
+    idx = running(nodes.select("id"), ["id"]).select("id", (F.col("rank") - 1).alias("idx"))
     return (
         edges.join(idx.select(F.col("id").alias("src"), F.col("idx").alias("src_idx")), "src").join(idx.select(F.col("id").alias("dst"), F.col("idx").alias("dst_idx")), "dst")
         .select("src_idx", "dst_idx")
@@ -242,10 +257,11 @@ def sample_hard_negatives(adj: DataFrame, n: int, *, seed: int = 1) -> DataFrame
     are nodes with neighbours, numbered by id.
     """
     (a, b), (c, d), (e, f) = hash_family(3, seed)
-    adj = adj.persist()
-    numbered = adj.select("src", "dst", (F.row_number().over(W.partitionBy("src").orderBy("dst")) - 1).alias("nth"))
-    deg = degrees(adj)
-    order = deg.select("id", "deg", (F.row_number().over(W.orderBy("id")) - 1).alias("rank"))
+    adj = written(adj.select("src", "dst"), "links")
+    # By ranges of (src, dst), so a hub's neighbours are numbered by many tasks.
+    numbered = running(adj, ["dst"], by=["src"]).select("src", "dst", (F.col("rank") - 1).alias("nth"))
+    deg = written(degrees(adj), "degrees")
+    order = running(deg, ["id"]).select("id", "deg", (F.col("rank") - 1).alias("rank"))
     total = deg.count()
     draws = adj.sparkSession.range(n).select(F.col("id").alias("k"), (affine(F.col("id"), a, b) % F.lit(max(total, 1))).alias("rank"))
     first = draws.join(order, "rank").select("k", F.col("id").alias("u"), (affine(F.col("k"), c, d) % F.col("deg")).alias("nth"))
@@ -258,13 +274,11 @@ def edge_split(edges: DataFrame, test: tuple[int, int] = (1, 10), valid: tuple[i
     """Canonical edges with split = test, valid or train: the first shares by floor, in the order of a hash."""
     a, b, c = seed
     h = (affine(F.col("src"), a, c) + affine(F.col("dst"), b, c)) % F.lit(P).cast("bigint")
-    total = edges.count()
-    n_test, n_valid = total * test[0] // test[1], total * valid[0] // valid[1]
-    rank = F.row_number().over(W.orderBy("h", "src", "dst"))
-    # Only the head of the order matters: two bounds on the rank, found among the smallest hashes.
-    head = edges.select("src", "dst", h.alias("h")).orderBy("h", "src", "dst").limit(n_test + n_valid).withColumn("rank", rank)
-    marked = head.select("src", "dst", F.when(F.col("rank") <= n_test, "test").otherwise("valid").alias("split"))
-    return edges.select("src", "dst").join(marked, ["src", "dst"], "left").withColumn("split", F.coalesce("split", F.lit("train")))
+    ranked = running(edges.select("src", "dst", h.alias("h")), ["h", "src", "dst"])
+    n = F.col("total")
+    n_test, n_valid = F.floor(n * test[0] / test[1]), F.floor(n * valid[0] / valid[1])
+    name = F.when(F.col("rank") <= n_test, "test").when(F.col("rank") <= n_test + n_valid, "valid").otherwise("train")
+    return ranked.join(F.broadcast(ranked.agg(F.count(F.lit(1)).alias("total")))).select("src", "dst", name.alias("split"))
 
 
 def message_graph(split: DataFrame) -> DataFrame:
@@ -278,7 +292,7 @@ def build_context(links: DataFrame, vectors: DataFrame, dim: int) -> tuple[DataF
     links: from_room, to_room; vectors: room, emb.
     """
     names = links.select(F.col("from_room").alias("room")).union(links.select("to_room")).union(vectors.select("room")).distinct()
-    idx = names.withColumn("idx", (F.row_number().over(W.orderBy(F.col("room").cast("string"))) - 1).cast("bigint"))
+    idx = running(names.withColumn("name", F.col("room").cast("string")), ["name"]).select("room", (F.col("rank") - 1).alias("idx"))
     rooms = idx.join(vectors, "room", "left").withColumn("emb", F.coalesce("emb", F.array_repeat(F.lit(0.0).cast("float"), dim)))
     edges = links.join(idx.select(F.col("room").alias("from_room"), F.col("idx").alias("u")), "from_room").join(idx.select(F.col("room").alias("to_room"), F.col("idx").alias("v")), "to_room").select("u", "v")
     return rooms.select("room", "idx", "emb"), edges

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ..ranges import running
+
 
 def hits_at_k(scores: DataFrame, ks: list[int]) -> DataFrame:
     """(k, hits): the share of positives that score strictly above the k-th best negative; 1.0 with fewer than k negatives.
@@ -23,30 +25,10 @@ def hits_at_k(scores: DataFrame, ks: list[int]) -> DataFrame:
     )
 
 
-def running_counts(scores: DataFrame, order: list, value: str, parts: int | None = None) -> DataFrame:
-    """Add rank (from 1) and cum (running sum of value) in a total order, without one task for all rows.
-
-    Rows are ranged by the order, numbered in their range, and each range
-    starts from the totals of those before it; only those totals (one row for
-    each range) go through a single window.
-    """
-    spark = scores.sparkSession
-    n = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = scores.repartitionByRange(n, *order).withColumn("part", F.spark_partition_id())
-    # The ranges must be the same for totals and rows: both read this one exchange.
-    ranged = ranged.persist()
-    totals = ranged.groupBy("part").agg(F.count(F.lit(1)).alias("n"), F.sum(value).alias("s"))
-    ahead = W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)
-    before = totals.select("part", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("n0"), F.coalesce(F.sum("s").over(ahead), F.lit(0)).alias("s0"))
-    inside = W.partitionBy("part").orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
-    local = ranged.withColumn("n1", F.count(F.lit(1)).over(inside)).withColumn("s1", F.sum(value).over(inside))
-    return local.join(F.broadcast(before), "part").withColumn("rank", F.col("n0") + F.col("n1")).withColumn("cum", F.col("s0") + F.col("s1")).drop("part", "n0", "n1", "s0", "s1")
-
-
 def precision_curve(scores: DataFrame) -> DataFrame:
     """Rows by falling score (ties by pair_id) with rank, precision and recall."""
     total = scores.agg(F.sum("label").alias("total"))
-    ranked = running_counts(scores.select("pair_id", "label", "score"), [F.desc("score"), F.asc("pair_id")], "label")
+    ranked = running(scores.select("pair_id", "label", "score"), [F.desc("score"), F.asc("pair_id")], value="label")
     return ranked.join(F.broadcast(total)).select("pair_id", "score", "rank", (F.col("cum") / F.col("rank")).alias("precision"), (F.col("cum") / F.col("total")).alias("recall"))
 
 
@@ -88,9 +70,9 @@ def image_weights(labels: DataFrame, image: str, column: str, weights: DataFrame
 
 def class_curves(dets: DataFrame, truths: DataFrame) -> DataFrame:
     """Per class, by falling confidence (ties by det_id): rank, recall, precision. dets: cls, det_id, conf, tp; truths: cls, n."""
-    w = W.partitionBy("cls").orderBy(F.desc("conf"), "det_id").rowsBetween(W.unboundedPreceding, 0)
     both = dets.join(truths.select("cls", "n"), "cls").where("n > 0")
-    return both.withColumn("tpc", F.sum("tp").over(w)).withColumn("rank", F.row_number().over(W.partitionBy("cls").orderBy(F.desc("conf"), "det_id"))).select("cls", "det_id", "conf", "rank", (F.col("tpc") / (F.col("n") + 1e-16)).alias("recall"), (F.col("tpc") / F.col("rank")).alias("precision"))
+    ranked = running(both.select("cls", "det_id", "conf", "tp", "n"), [F.desc("conf"), "det_id"], by=["cls"], value="tp")
+    return ranked.select("cls", "det_id", "conf", "rank", (F.col("cum") / (F.col("n") + 1e-16)).alias("recall"), (F.col("cum") / F.col("rank")).alias("precision"))
 
 
 def interpolate(points: DataFrame, grid: DataFrame, keys: list[str]) -> DataFrame:
@@ -114,13 +96,23 @@ def interpolate(points: DataFrame, grid: DataFrame, keys: list[str]) -> DataFram
 
 
 def average_precision(curves: DataFrame, points: int = 101) -> DataFrame:
-    """(cls, ap): the precision envelope, read at `points` recalls and integrated by trapezia."""
+    """(cls, ap): the precision envelope, read at `points` recalls and integrated by trapezia.
+
+    Between two of the recalls only the first and the last point of the curve
+    can be next to one of them, so at most 2 * points + 2 rows of a class are
+    interpolated, however long its curve.
+    """
     ends = curves.select("cls").distinct()
     body = curves.select("cls", F.col("rank").cast("bigint").alias("ord"), F.col("recall").alias("x"), F.col("precision").alias("y"))
     padded = body.unionByName(ends.select("cls", F.lit(0).cast("bigint").alias("ord"), F.lit(0.0).alias("x"), F.lit(1.0).alias("y"))).unionByName(ends.select("cls", F.lit(1 << 62).alias("ord"), F.lit(1.0).alias("x"), F.lit(0.0).alias("y")))
-    envelope = padded.withColumn("y", F.max("y").over(W.partitionBy("cls").orderBy(F.desc("ord")).rowsBetween(W.unboundedPreceding, 0)))
-    grid = ends.select("cls", F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("i")).select("cls", (F.col("i") / F.lit(float(points - 1))).alias("at"))
-    at = interpolate(envelope, grid, ["cls"])
+    envelope = running(padded, [F.desc("ord")], by=["cls"], value="y", how="max").select("cls", "ord", "x", F.col("cum").alias("y"))
+    last = F.lit(float(points - 1))
+    near = F.round(F.col("x") * last)
+    between = near + (F.col("x") > near / last).cast("int")  # recalls of the grid below x
+    outer = envelope.groupBy("cls", between.alias("b")).agg(F.min(F.struct("x", "ord", "y")).alias("p"), F.max(F.struct("x", "ord", "y")).alias("q"))
+    few = outer.select("cls", "p.*").unionByName(outer.select("cls", "q.*")).distinct()
+    grid = ends.select("cls", F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("i")).select("cls", (F.col("i") / last).alias("at"))
+    at = interpolate(few, grid, ["cls"])
     before = W.partitionBy("cls").orderBy("at")
     area = (F.col("at") - F.lag("at").over(before)) * (F.col("value") + F.lag("value").over(before)) / 2
     return at.withColumn("area", area).groupBy("cls").agg(F.sum("area").alias("ap"))
@@ -129,16 +121,21 @@ def average_precision(curves: DataFrame, points: int = 101) -> DataFrame:
 def smooth(df: DataFrame, keys: list[str], order: str, value: str, fraction: float = 0.05) -> DataFrame:
     """(keys, order, smoothed): box filter of floor(round(2 * fraction * length) / 2) + 1 taps, the ends repeated.
 
-    Each point is sent to the places whose window covers it, so a series is never held whole.
+    The sum in a window is the difference of two running sums, each looked up
+    by its place, so the cost of a point does not grow with the window.
     """
-    w = W.partitionBy(*keys)
-    taps = F.floor(F.bround(F.count(F.lit(1)).over(w) * F.lit(2 * fraction)) / 2) + 1
-    rows = df.select(*keys, order, value).withColumn("i", F.row_number().over(w.orderBy(order)).cast("bigint")).withColumn("n", F.count(F.lit(1)).over(w)).withColumn("taps", taps)
-    first = F.col("i") - F.floor(F.col("taps") / 2)
-    spread = rows.select(*keys, order, "taps", F.explode(F.sequence(first, first + F.col("taps") - 1)).alias("at"), "n")
-    spread = spread.withColumn("at", F.least(F.greatest("at", F.lit(1)), F.col("n"))).drop("n")
-    points = rows.select(*keys, F.col("i").alias("at"), F.col(value).alias("y"))
-    return spread.join(points, [*keys, "at"]).groupBy(*keys, order).agg((F.sum("y") / F.max("taps")).alias("smoothed"))
+    rows = running(df.select(*keys, order, value), [order], by=keys, value=value)
+    ends = rows.groupBy(*keys).agg(F.max("rank").alias("n"), F.min_by(value, "rank").alias("first"), F.max_by(value, "rank").alias("last"))
+    taps = (F.floor(F.bround(F.col("n") * F.lit(2 * fraction)) / 2) + 1).cast("bigint")
+    both = rows.select(*keys, order, "rank").join(ends, keys).withColumn("taps", taps)
+    lo = F.col("rank") - F.floor(F.col("taps") / 2)
+    both = both.withColumn("lo", lo).withColumn("hi", F.col("lo") + F.col("taps") - 1)
+    sums = rows.select(*keys, F.col("rank").alias("place"), F.col("cum").alias("upto"))
+    upto = lambda at, name: sums.select(*keys, F.col("place").alias(at), F.col("upto").alias(name))
+    both = both.withColumn("a", F.greatest("lo", F.lit(1)) - 1).withColumn("b", F.least("hi", F.col("n")))
+    both = both.join(upto("b", "sb"), [*keys, "b"]).join(upto("a", "sa"), [*keys, "a"], "left")
+    beyond = F.greatest(1 - F.col("lo"), F.lit(0)) * F.col("first") + F.greatest(F.col("hi") - F.col("n"), F.lit(0)) * F.col("last")
+    return both.select(*keys, order, ((F.col("sb") - F.coalesce("sa", F.lit(0.0)) + beyond) / F.col("taps")).alias("smoothed"))
 
 
 def fitness(df: DataFrame, weights: tuple[float, float, float, float] = (0.0, 0.0, 0.1, 0.9)) -> DataFrame:

@@ -10,8 +10,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-#: Queries of a block in nearest_neighbours; a block's vectors go to the driver and out with each task.
-BLOCK_ROWS = 20_000
+#: Queries of a block in nearest_neighbours, whose vectors go to the driver and out with each task, and rows compared with
+#: them at a time: a product has at most their product of doubles, 80 MB.
+BLOCK_ROWS, CHUNK_ROWS = 10_000, 1000
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -61,7 +62,8 @@ def standardize(df: DataFrame, scaler: dict[str, tuple[float, float]]) -> DataFr
 def nearest_neighbours(queries: DataFrame, base: DataFrame, k: int, id_col: str, vector: str, *, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """(q, id, sim, rank): the k rows of base nearest by dot product to each query, itself excluded; ties by id.
 
-    A stated query set against all rows: queries go in blocks of at most
+    A stated query set (a hundredth or less of a large base) against all rows,
+    one pass over them for each block: queries go in blocks of at most
     block_rows, held as a matrix by each task, which keeps its best k of each
     query over all its batches; only those are shuffled to be ranked. Products
     are matrix products in a worker, as array lambdas are some hundred times
@@ -88,9 +90,7 @@ def _block_neighbours(block: list, rows: DataFrame, k: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, sims = np.empty((len(names), 0), dtype=np.int64), np.empty((len(names), 0))
-        for b in batches:
-            if not b.num_rows:
-                continue
+        for b in (batch.slice(at, CHUNK_ROWS) for batch in batches for at in range(0, batch.num_rows, CHUNK_ROWS)):
             here = b.column(0).to_numpy()
             other = b.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(b.num_rows, -1)
             s = np.round(matrix @ other.T, 12)

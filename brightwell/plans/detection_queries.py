@@ -256,10 +256,10 @@ def segment_boxes(spark, sf):
 
 
 @query(
-    f"""WITH p AS ({_points_sql()}), m AS (SELECT image_id, count(*) AS m FROM p GROUP BY 1), c AS (SELECT image_id, ord, x, y FROM p UNION ALL SELECT image_id, m, x, y FROM p JOIN m USING (image_id) WHERE ord = 0),
-    g AS (SELECT image_id, i, i * m / 8.0::DOUBLE AS pos FROM m, (SELECT unnest(range(9)) AS i))
+    f"""WITH p AS MATERIALIZED ({_points_sql()}), m AS MATERIALIZED (SELECT image_id, count(*) AS m FROM p GROUP BY 1), c AS MATERIALIZED (SELECT image_id, ord::BIGINT AS ord, x, y FROM p UNION ALL SELECT image_id, m, x, y FROM p JOIN m USING (image_id) WHERE ord = 0),
+    g AS MATERIALIZED (SELECT image_id, i, i * m / 8.0::DOUBLE AS pos, floor(i * m / 8.0::DOUBLE)::BIGINT AS lo FROM m, (SELECT unnest(range(9)) AS i))
     SELECT g.image_id, 0 AS seg_id, i::INTEGER AS i, round(a.x + (coalesce(b.x, a.x) - a.x) * (pos - a.ord), 6) AS x, round(a.y + (coalesce(b.y, a.y) - a.y) * (pos - a.ord), 6) AS y
-    FROM g JOIN c a ON a.image_id = g.image_id AND a.ord = floor(pos) LEFT JOIN c b ON b.image_id = g.image_id AND b.ord = floor(pos) + 1"""
+    FROM g JOIN c a ON a.image_id = g.image_id AND a.ord = lo LEFT JOIN c b ON b.image_id = g.image_id AND b.ord = lo + 1"""
 )
 def resample_segments(spark, sf):
     return rounded(detection.resample_segments(_points(spark, sf), 9))

@@ -10,10 +10,10 @@ from .registry import query, read, rounded
 
 FAMILY = graph.hash_family(8)
 GRAPH = """
-    lp AS (SELECT DISTINCT l_orderkey AS g, l_partkey AS i FROM lineitem),
-    und AS (SELECT a.i AS src, b.i AS dst, count(*)::DOUBLE AS w FROM lp a JOIN lp b ON a.g = b.g AND a.i < b.i GROUP BY 1, 2),
-    adj AS (SELECT src, dst, w FROM und UNION ALL SELECT dst, src, w FROM und),
-    deg AS (SELECT src AS id, count(*) AS deg FROM adj GROUP BY 1),
+    lp AS MATERIALIZED (SELECT DISTINCT l_orderkey AS g, l_partkey AS i FROM lineitem),
+    und AS MATERIALIZED (SELECT a.i AS src, b.i AS dst, count(*)::DOUBLE AS w FROM lp a JOIN lp b ON a.g = b.g AND a.i < b.i GROUP BY 1, 2),
+    adj AS MATERIALIZED (SELECT src, dst, w FROM und UNION ALL SELECT dst, src, w FROM und),
+    deg AS MATERIALIZED (SELECT src AS id, count(*) AS deg FROM adj GROUP BY 1),
     pairs AS (SELECT p_partkey AS u, (48271 * p_partkey + 11) % 2147483647 % (SELECT count(*) FROM part) AS v FROM part WHERE p_partkey <> (48271 * p_partkey + 11) % 2147483647 % (SELECT count(*) FROM part))"""
 NORM = """
     both_ AS (SELECT src, dst FROM adj UNION ALL SELECT p_partkey, p_partkey FROM part),
@@ -142,11 +142,11 @@ def hadamard_pairs(spark, sf):
 
 _BFS = """
     q0 AS (SELECT id, 0::BIGINT AS pos FROM deg ORDER BY deg DESC, id LIMIT 1),
-    l1 AS (SELECT dst AS id, row_number() OVER (ORDER BY dst) AS pos FROM q0 JOIN adj ON src = q0.id),
-    q1 AS (SELECT * FROM q0 UNION ALL SELECT id, pos FROM l1),
-    l2 AS (SELECT dst AS id, min(pos) AS parent FROM l1 JOIN adj ON src = l1.id WHERE dst NOT IN (SELECT id FROM q1) GROUP BY 1),
-    q2 AS (SELECT id, pos FROM q1 UNION ALL SELECT id, (SELECT max(pos) FROM q1) + row_number() OVER (ORDER BY parent, id) FROM l2),
-    sub AS (SELECT id, pos FROM q2 ORDER BY pos LIMIT 150)"""
+    l1 AS MATERIALIZED (SELECT dst AS id, row_number() OVER (ORDER BY dst) AS pos FROM q0 JOIN adj ON src = q0.id),
+    q1 AS MATERIALIZED (SELECT * FROM q0 UNION ALL SELECT id, pos FROM l1),
+    l2 AS MATERIALIZED (SELECT dst AS id, min(pos) AS parent FROM l1 JOIN adj ON src = l1.id WHERE dst NOT IN (SELECT id FROM q1) GROUP BY 1),
+    q2 AS MATERIALIZED (SELECT id, pos FROM q1 UNION ALL SELECT id, (SELECT max(pos) FROM q1) + row_number() OVER (ORDER BY parent, id) FROM l2),
+    sub AS MATERIALIZED (SELECT id, pos FROM q2 ORDER BY pos LIMIT 150)"""
 
 
 @query(f"WITH {GRAPH}, {_BFS} SELECT id, pos FROM sub")
@@ -155,7 +155,7 @@ def bfs_subgraph(spark, sf):
 
 
 @query(
-    f"""WITH {GRAPH}, {_BFS}, idx AS (SELECT id, row_number() OVER (ORDER BY id) - 1 AS i FROM sub)
+    f"""WITH {GRAPH}, {_BFS}, idx AS MATERIALIZED (SELECT id, row_number() OVER (ORDER BY id) - 1 AS i FROM sub)
     SELECT a.i AS src_idx, b.i AS dst_idx FROM und JOIN idx a ON a.id = src JOIN idx b ON b.id = dst"""
 )
 def induced_subgraph(spark, sf):
@@ -189,11 +189,11 @@ _W = graph.hash_family(3)
 
 
 @query(
-    f"""WITH {GRAPH}, r AS (SELECT id, deg, row_number() OVER (ORDER BY id) - 1 AS rank FROM deg), nb AS (SELECT src, dst, row_number() OVER (PARTITION BY src ORDER BY dst) - 1 AS nth FROM adj),
-    k AS (SELECT unnest(range(2000)) AS k),
-    a AS (SELECT k, id AS u, ({_W[1][0]} * k + {_W[1][1]}) % 2147483647 % deg AS nth FROM k JOIN r ON rank = ({_W[0][0]} * k + {_W[0][1]}) % 2147483647 % (SELECT count(*) FROM deg)),
-    b AS (SELECT k, u, dst AS w FROM a JOIN nb ON src = u AND nb.nth = a.nth),
-    c AS (SELECT k, u, w, ({_W[2][0]} * k + {_W[2][1]}) % 2147483647 % deg AS nth FROM b JOIN deg ON id = w)
+    f"""WITH {GRAPH}, r AS MATERIALIZED (SELECT id, deg, row_number() OVER (ORDER BY id) - 1 AS rank FROM deg), nb AS MATERIALIZED (SELECT src, dst, row_number() OVER (PARTITION BY src ORDER BY dst) - 1 AS nth FROM adj),
+    k AS MATERIALIZED (SELECT k, ({_W[0][0]} * k + {_W[0][1]}) % 2147483647 % (SELECT count(*) FROM deg) AS rank FROM (SELECT unnest(range(2000)) AS k)),
+    a AS MATERIALIZED (SELECT k, id AS u, ({_W[1][0]} * k + {_W[1][1]}) % 2147483647 % deg AS nth FROM k JOIN r USING (rank)),
+    b AS MATERIALIZED (SELECT k, u, dst AS w FROM a JOIN nb ON src = u AND nb.nth = a.nth),
+    c AS MATERIALIZED (SELECT k, u, w, ({_W[2][0]} * k + {_W[2][1]}) % 2147483647 % deg AS nth FROM b JOIN deg ON id = w)
     SELECT k, u, dst AS v FROM c JOIN nb ON src = w AND nb.nth = c.nth WHERE u <> dst"""
 )
 def hard_negatives(spark, sf):

@@ -188,8 +188,7 @@ def group_environments(spark, sf):
 
 
 # A user's events as a first page in points from the bottom left: two signups are headers, clicks between them the band.
-_FIRST = """SELECT user_id AS doc_id, event_id::VARCHAR AS ref, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS ord, CASE WHEN event_type = 'signup' THEN 'section_header' WHEN event_type = 'click' THEN 'text' ELSE 'list_item' END AS label, (event_id * 37 % 500)::DOUBLE AS l, (event_id * 101 % 7919 / 10)::DOUBLE AS y FROM events WHERE event_id % 4 = 0"""
-_FIRST_WHOLE = _FIRST.replace(" WHERE event_id % 4 = 0", "")
+_FIRST = """SELECT user_id AS doc_id, event_id::VARCHAR AS ref, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS ord, CASE WHEN event_type = 'signup' THEN 'section_header' WHEN event_type = 'click' THEN 'text' ELSE 'list_item' END AS label, (event_id * 37 % 500)::DOUBLE AS l, (event_id * 101 % 7919 / 10)::DOUBLE AS y FROM events"""
 
 
 def _authors(events):
@@ -203,7 +202,7 @@ def _authors(events):
 
 
 @query(
-    f"""WITH e AS ({_FIRST_WHOLE}), h AS (SELECT doc_id, ref, y FROM e WHERE label = 'section_header' QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY y DESC, ord) <= 2),
+    f"""WITH e AS ({_FIRST}), h AS (SELECT doc_id, ref, y FROM e WHERE label = 'section_header' QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY y DESC, ord) <= 2),
     b AS (SELECT doc_id, arg_max(ref, y) AS title, max(y) AS hi, min(y) AS lo FROM h GROUP BY 1 HAVING count(*) = 2 AND max(y) > min(y)),
     m AS (SELECT e.doc_id, ref, title, y, l FROM e JOIN b USING (doc_id) WHERE label = 'text' AND y > lo AND y < hi), k AS (SELECT doc_id FROM m GROUP BY 1 HAVING count(*) >= 2 AND max(l) - min(l) >= 60),
     p AS (SELECT doc_id, ref, title, row_number() OVER (PARTITION BY doc_id ORDER BY -round_even(y / 16, 0), l) AS place FROM m WHERE doc_id IN (SELECT doc_id FROM k)),

@@ -40,21 +40,26 @@ def pair_cosine_dot(spark, sf):
     return rounded(vectors.pair_cosine_dot(e, pairs, "vec_id", "embedding"))
 
 
+def _asked(e):
+    """The stated query set of the searches: every row whose id is divisible by 50, against all rows."""
+    return e.where("vec_id % 50 = 0")
+
+
 _KNN = """
-    s AS (SELECT a.vec_id AS q, b.vec_id AS id, list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS sim, (a.label = b.label)::DOUBLE AS same FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id),
+    s AS (SELECT a.vec_id AS q, b.vec_id AS id, list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS sim, (a.label = b.label)::DOUBLE AS same FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0),
     r AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY sim DESC, id) AS rank FROM s)"""
 
 
 @query(f"WITH {_KNN} SELECT k, round(avg(same), 6) AS precision FROM r JOIN (VALUES (1), (5), (10), (20)) t(k) ON rank <= k GROUP BY k")
 def knn_precision_at_k(spark, sf):
     e = read(spark, sf, "embeddings")
-    return rounded(vectors.precision_at_k(vectors.nearest_neighbours(e, e, 20, "vec_id", "embedding"), e, [1, 5, 10, 20], "vec_id", "label"))
+    return rounded(vectors.precision_at_k(vectors.nearest_neighbours(_asked(e), e, 20, "vec_id", "embedding"), e, [1, 5, 10, 20], "vec_id", "label"))
 
 
 @query(f"WITH {_KNN} SELECT q, id, round(sim, 6) AS sim, rank::INTEGER AS rank FROM r WHERE rank <= 3")
 def nearest_neighbours(spark, sf):
     e = read(spark, sf, "embeddings")
-    return rounded(vectors.nearest_neighbours(e, e, 3, "vec_id", "embedding"))
+    return rounded(vectors.nearest_neighbours(_asked(e), e, 3, "vec_id", "embedding"))
 
 
 @query("WITH c AS (SELECT count(*)::DOUBLE AS c FROM embeddings GROUP BY label) SELECT round(sum(c * (c - 1)) / (sum(c) * (sum(c) - 1)), 6) AS base_rate FROM c")
