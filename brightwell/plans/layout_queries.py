@@ -204,8 +204,8 @@ def _authors(events):
 @query(
     f"""WITH e AS ({_FIRST}), h AS (SELECT doc_id, ref, y FROM e WHERE label = 'section_header' QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY y DESC, ord) <= 2),
     b AS (SELECT doc_id, arg_max(ref, y) AS title, max(y) AS hi, min(y) AS lo FROM h GROUP BY 1 HAVING count(*) = 2 AND max(y) > min(y)),
-    m AS (SELECT e.doc_id, ref, title, y, l FROM e JOIN b USING (doc_id) WHERE label = 'text' AND y > lo AND y < hi), k AS (SELECT doc_id FROM m GROUP BY 1 HAVING count(*) >= 2 AND max(l) - min(l) >= 60),
-    p AS (SELECT doc_id, ref, title, row_number() OVER (PARTITION BY doc_id ORDER BY -round_even(y / 16, 0), l) AS place FROM m WHERE doc_id IN (SELECT doc_id FROM k)),
+    m AS (SELECT e.doc_id, ref, title, y, l, e.ord FROM e JOIN b USING (doc_id) WHERE label = 'text' AND y > lo AND y < hi), k AS (SELECT doc_id FROM m GROUP BY 1 HAVING count(*) >= 2 AND max(l) - min(l) >= 60),
+    p AS (SELECT doc_id, ref, title, row_number() OVER (PARTITION BY doc_id ORDER BY -round_even(y / 16, 0), l, ord) AS place FROM m WHERE doc_id IN (SELECT doc_id FROM k)),
     q AS (SELECT e.doc_id, e.ref, coalesce(t.ord, e.ord) AS a, coalesce(p.place, 0) AS c FROM e LEFT JOIN p USING (doc_id, ref) LEFT JOIN e t ON t.doc_id = p.doc_id AND t.ref = p.title)
     SELECT doc_id, ref, (row_number() OVER (PARTITION BY doc_id ORDER BY a, c, ref) - 1)::INTEGER AS ord FROM q"""
 )
