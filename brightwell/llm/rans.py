@@ -17,7 +17,7 @@ import numpy as np
 
 LOW = np.uint64(1 << 31)
 WORD = np.uint64(32)
-LANES, CHECK_STEPS = 512, 128
+LANES, CHECK_STEPS = 1024, 128
 TABLE_MAGIC, BLOCK_MAGIC = b"RANSTAB1", b"RANSBLK1"
 
 
@@ -146,8 +146,12 @@ class Coder:
         x = np.frombuffer(state, "<u8").astype(np.uint64)
         at += marks * (4 + 8 * lanes)
         sums = np.frombuffer(payload, "<u4", marks + 1, at)
-        stream = np.frombuffer(payload, "<u4", words, at + 4 * (marks + 1)).astype(np.uint64)
         last_mark = marks + 1 if until is None else min(until, marks + 1)
+        begin, behind = at + 4 * (marks + 1), words
+        if last_mark <= marks:
+            (behind,) = struct.unpack_from("<I", payload, 20 + 8 * lanes + (last_mark - 1) * (4 + 8 * lanes))
+        stream = np.frombuffer(payload, "<u4", behind - pos, begin + 4 * pos).astype(np.uint64)
+        pos = 0
         first, last = checkpoint * check_steps, min(last_mark * check_steps, -(-n // lanes))
         out = np.empty(max(0, min(n, last * lanes) - first * lanes), dtype=np.uint32)
         base = first * lanes
