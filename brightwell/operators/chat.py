@@ -90,7 +90,7 @@ def lead_with_image(messages: Column, mark: str = "<image>", tagged: bool = Fals
 
 
 def without_system(messages: Column) -> Column:
-    """Messages without a leading system message, for models that have no such role."""
+    """Messages without a leading system message, where the receiver has no such role."""
     return F.when(F.get(messages, F.lit(0))["role"] == "system", F.slice(messages, F.lit(2), F.greatest(F.size(messages) - 1, F.lit(0)))).otherwise(messages)
 
 

@@ -225,7 +225,7 @@ def with_given_labels(dets: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def concat_stages(*stages: DataFrame) -> DataFrame:
-    """Detections of several stages, scales or models, duplicates kept."""
+    """Detections of several stages, scales or detectors, duplicates kept."""
     out = stages[0]
     for s in stages[1:]:
         out = out.unionByName(s)

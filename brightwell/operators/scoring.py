@@ -1,4 +1,4 @@
-"""The scorer seam: models as functions over batches of rows, and the numeric pieces around them."""
+"""The scorer seam: scorers as functions over batches of rows, and the numeric pieces around them."""
 
 from __future__ import annotations
 
@@ -53,7 +53,7 @@ class Mlp:
 
 
 def forward(features: Column, model: Mlp) -> Column:
-    """The logit of an array column, as JVM expressions (for models of a few hundred weights)."""
+    """The logit of an array column, as JVM expressions (for a few hundred weights)."""
     num = lambda xs: F.array(*(F.lit(float(x)) for x in xs))
     dotted = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
     bind = lambda value, make: F.get(F.transform(F.array(value), make), F.lit(0))  # noqa: E731  # computes value once
@@ -90,7 +90,7 @@ def decide(scored: DataFrame, logit: str = "logit", threshold: float = ACCEPT) -
 
 
 def batch_score(df: DataFrame, make: Callable[[], Callable], schema: str, *, batch: int = 32) -> DataFrame:
-    """The seam for external models: make() builds the model once in a worker, which then maps lists of `batch` row dicts to lists of row dicts.
+    """The seam for external scorers: make() builds one once in a worker, which then maps lists of `batch` row dicts to lists of row dicts.
 
     Rows keep their order within a partition; a worker holds one batch.
     """
