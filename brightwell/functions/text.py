@@ -214,3 +214,11 @@ def byte_level_decode(text: Column) -> Column:
     known = F.regexp_replace(text, "[^" + "!-~¡-¬®-ÿ" + chr(256) + "-" + chr(255 + len(rest)) + "]", "")
     latin = F.translate(known, "".join(chr(256 + k) for k in range(len(rest))), "".join(map(chr, rest)))
     return F.decode(F.encode(latin, "ISO-8859-1"), "UTF-8")
+
+
+def check_suffix(path: Column, suffixes: list[str]) -> Column:
+    """The path, or an error if it ends in none of the suffixes (case aside)."""
+    fits = F.lit(False)
+    for x in suffixes:
+        fits = fits | F.endswith(F.lower(path), F.lit(x.lower()))
+    return F.when(fits, path).otherwise(F.raise_error(F.format_string(f"%s is none of {', '.join(suffixes)}", path)))

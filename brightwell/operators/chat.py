@@ -185,6 +185,19 @@ def pad(values: Column, length: Column | int, fill: int, *, left: bool = False)
     return F.concat(missing, values) if left else F.concat(values, missing)
 
 
+def within_budget(ids: Column, max_length: int, before: Column | None = None, after: Column | None = None) -> Column:
+    """before + ids + after in at most max_length tokens: the ids give way, from their end."""
+    none = F.slice(ids, 1, 0)
+    before, after = (none if c is None else c for c in (before, after))
+    room = F.greatest(F.lit(max_length) - F.size(before) - F.size(after), F.lit(0))
+    return F.concat(before, F.slice(ids, F.lit(1), room), after)
+
+
+def passthrough(requests: DataFrame) -> DataFrame:
+    """The task that answers a request with itself."""
+    return requests
+
+
 def stops(tokens: Column, decoded: Column, stop_ids: list[list[int]], words: list[str]) -> Column:
     """Whether generation is to stop: the tokens end like a stop sequence, or the text holds a stop word."""
     out = F.lit(False)

@@ -172,3 +172,38 @@ def lead_with_image(spark, sf):
     rows = read(spark, sf, "conversations").where("turn = 0")
     m = F.array(F.struct("role", F.concat(F.lit("<image>"), "text").alias("content")))
     return rows.select("conv_id", "turn", chat.lead_with_image(m)[0]["content"].alias("content"))
+
+
+@query("SELECT conv_id, turn, least(length(text), 20) + 3 AS n, CASE WHEN length(text) >= 20 THEN 20 ELSE length(text) END AS last FROM conversations WHERE text IS NOT NULL")
+def within_budget(spark, sf):
+    """Places of characters stand for tokens: two tokens before, one after, 23 in all."""
+    c = read(spark, sf, "conversations").where("text IS NOT NULL")
+    ids = F.slice(F.sequence(F.lit(1), F.char_length("text") + 1), F.lit(1), F.char_length("text"))
+    cut = chat.within_budget(ids, 23, F.array(F.lit(-1), F.lit(-2)), F.array(F.lit(-3)))
+    return c.select("conv_id", "turn", F.size(cut).cast("bigint").alias("n"), F.greatest(F.try_element_at(cut, F.lit(-2)), F.lit(0)).cast("bigint").alias("last"))
+
+
+@query("SELECT conv_id, (count(*) % 2)::INTEGER AS images FROM conversations GROUP BY 1")
+def check_images(spark, sf):
+    n = read(spark, sf, "conversations").groupBy("conv_id").agg((F.count(F.lit(1)) % 2).cast("int").alias("n"))
+    return n.select("conv_id", chat.check_images(F.col("n")).alias("images"))
+
+
+@query("SELECT conv_id, turn, role, text FROM conversations")
+def passthrough(spark, sf):
+    return chat.passthrough(read(spark, sf, "conversations").select("conv_id", "turn", "role", "text"))
+
+
+@query("SELECT c_custkey, c_name || CASE WHEN c_custkey % 2 = 0 THEN '.PT' ELSE '.onnx' END AS path FROM customer")
+def check_suffix(spark, sf):
+    path = F.concat("c_name", F.when(F.col("c_custkey") % 2 == 0, ".PT").otherwise(".onnx"))
+    return read(spark, sf, "customer").select("c_custkey", tx.check_suffix(path, [".pt", ".onnx"]).alias("path"))
+
+
+@query("SELECT doc_id AS pos, (length(text) % 97)::DOUBLE + 9 AS score FROM documents WHERE text IS NOT NULL")
+def rerank(spark, sf):
+    """A scorer of lengths; scores come back under the documents' places."""
+    from ..operators import scoring
+
+    docs = read(spark, sf, "documents").where("text IS NOT NULL").select(F.col("doc_id").alias("pos"), "text")
+    return scoring.rerank(docs, lambda ask, text: len(text) % 97 + len(ask), "what", "find").select("pos", "score")

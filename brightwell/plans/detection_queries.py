@@ -300,3 +300,18 @@ def matching_shapes(spark, sf):
     part = read(spark, sf, "part").select("p_partkey", F.col("p_name").alias("name"), F.col("p_size").cast("string").alias("shape"), "p_size")
     other = part.where("p_partkey % 2 = 0 AND p_size < 40")
     return detection.matching_shapes(part.where("p_partkey % 2 = 0").select("name", "shape"), other, ("7",))
+
+
+@query("SELECT p_partkey, round(200 * (0.5 - p_size / 200.0::DOUBLE) + 3, 6) AS x1, round(100 * (0.4 - p_size / 400.0::DOUBLE) + 4, 6) AS y1, round(200 * (0.5 + p_size / 200.0::DOUBLE) + 3, 6) AS x2, round(100 * (0.4 + p_size / 400.0::DOUBLE) + 4, 6) AS y2 FROM part")
+def denormalise(spark, sf):
+    size = F.col("p_size")
+    box = g.denormalise((F.lit(0.5), F.lit(0.4), size / 100.0, size / 200.0), 200.0, 100.0, 3.0, 4.0)
+    return rounded(read(spark, sf, "part").select("p_partkey", *(c.alias(n) for c, n in zip(box, ("x1", "y1", "x2", "y2")))))
+
+
+@query("SELECT p_partkey, 0.1::DOUBLE AS l, round(CASE WHEN p_partkey % 2 = 0 THEN 1 - (p_size + 10) / 100.0::DOUBLE ELSE p_size / 100.0::DOUBLE END, 6) AS t, 0.5::DOUBLE AS r, round(CASE WHEN p_partkey % 2 = 0 THEN 1 - p_size / 100.0::DOUBLE ELSE (p_size + 10) / 100.0::DOUBLE END, 6) AS b FROM part")
+def top_left_page(spark, sf):
+    """Boxes of 100 x 100 pages, of even parts from the bottom left."""
+    size = F.col("p_size").cast("double")
+    box = g.top_left_page((F.lit(10.0), size, F.lit(50.0), size + 10), F.lit(100.0), F.lit(100.0), F.col("p_partkey") % 2 == 0)
+    return rounded(read(spark, sf, "part").select("p_partkey", *(c.alias(n) for c, n in zip(box, "ltrb"))))
