@@ -19,23 +19,53 @@ IMAGE_TOKEN, IGNORE = -200, -100
 
 @dataclass(frozen=True)
 class Style:
-    """A prompt style: kind is single, two, mpt, llama2, plain or spaced; roles name user and assistant."""
+    """A prompt style: kind is single, two, mpt, llama2, plain or spaced; roles name user and assistant.
+
+    tagged: `lead_with_image` gives a leading image turns of its own.
+    """
 
     kind: str
     system: str = ""
     roles: tuple[str, str] = ("USER", "ASSISTANT")
     sep: str = "###"
     sep2: str = ""
+    tagged: bool = False
+
+
+# Separators, role names and system texts of the named templates.
+_CURIOUS_HUMAN = "A chat between a curious human and an artificial intelligence assistant. The assistant gives helpful, detailed, and polite answers to the human's questions."
+_CURIOUS_USER = "A chat between a curious user and an artificial intelligence assistant. The assistant gives helpful, detailed, and polite answers to the user's questions."
+_TAGGED = (
+    "A chat between a curious user and an artificial intelligence assistant. The assistant is able to understand the visual content that the user provides, and assist the user with a variety of "
+    "tasks using natural language.The visual content will be provided with the following format: <Image>visual content</Image>."
+)
+_VISION = "You are a helpful language and vision assistant. You are able to understand the visual content that the user provides, and assist the user with a variety of tasks using natural language."
+_SAFE = (
+    "You are a helpful, respectful and honest assistant. Always answer as helpfully as possible, while being safe.  Your answers should not include any harmful, unethical, racist, sexist, toxic, "
+    "dangerous, or illegal content. Please ensure that your responses are socially unbiased and positive in nature.\n\nIf a question does not make any sense, or is not factually coherent, explain why "
+    "instead of answering something not correct. If you don't know the answer to a question, please don't share false information."
+)
+_MPT = "<|im_start|>system\nA conversation between a user and an LLM-based AI assistant. The assistant gives helpful and honest answers."
+_DIRECT = "<|im_start|>system\nAnswer the questions."
+_USERS, _HUMANS, _MARKED = ("USER", "ASSISTANT"), ("Human", "Assistant"), ("<|im_start|>user\n", "<|im_start|>assistant\n")
 
-
-# Separators and role names of the named templates. System texts are parameters.
 STYLES = {
-    "v0": Style("single", roles=("Human", "Assistant"), sep="###"),
-    "v1": Style("two", roles=("USER", "ASSISTANT"), sep=" ", sep2="</s>"),
-    "llama_2": Style("llama2", roles=("USER", "ASSISTANT"), sep="<s>", sep2="</s>"),
-    "mpt": Style("mpt", roles=("<|im_start|>user\n", "<|im_start|>assistant\n"), sep="<|im_end|>"),
-    "plain": Style("plain", roles=("", ""), sep="\n"),
-    "spaced": Style("spaced", roles=("Human", "Assistant"), sep="###"),
+    "v0": Style("single", _CURIOUS_HUMAN, _HUMANS, "###"),
+    "v1": Style("two", _CURIOUS_USER, _USERS, " ", "</s>"),
+    "vicuna_v1": Style("two", _CURIOUS_USER, _USERS, " ", "</s>"),
+    "llama_2": Style("llama2", _SAFE, _USERS, "<s>", "</s>"),
+    "mistral_instruct": Style("llama2", "", _USERS, "", "</s>"),
+    "chatml_direct": Style("mpt", _DIRECT, _MARKED, "<|im_end|>"),
+    "mistral_direct": Style("mpt", _DIRECT, _MARKED, "<|im_end|>"),
+    "plain": Style("plain", "", ("", ""), "\n"),
+    "v0_plain": Style("plain", "", ("", ""), "\n"),
+    "llava_v0": Style("single", _CURIOUS_HUMAN, _HUMANS, "###"),
+    "v0_mmtag": Style("single", _TAGGED, _HUMANS, "###", tagged=True),
+    "llava_v1": Style("two", _CURIOUS_HUMAN, _USERS, " ", "</s>"),
+    "v1_mmtag": Style("two", _TAGGED, _USERS, " ", "</s>", tagged=True),
+    "llava_llama_2": Style("llama2", _VISION, _USERS, "<s>", "</s>"),
+    "mpt": Style("mpt", _MPT, _MARKED, "<|im_end|>"),
+    "spaced": Style("spaced", "", _HUMANS, "###"),
 }
 
 
@@ -72,7 +102,7 @@ def prompt(messages: Column, style: Style, system: str | Column | None = None) -
         head = F.when(sys != "", F.concat(F.lit("<<SYS>>\n"), sys, F.lit("\n<</SYS>>\n\n"))).otherwise("")
         ask = lambda m, i: F.concat(sep, F.lit("[INST] "), F.when(i == 0, head).otherwise(""), m["content"], F.lit(" [/INST]"))
         body = join(lambda m, i: F.when(~full(m), "").when(i % 2 == 0, ask(m, i)).otherwise(F.concat(F.lit(" "), m["content"], F.lit(" "), sep2)))
-        return F.ltrim(body, sep)
+        return F.ltrim(body, sep) if style.sep else body
     raise ValueError(f"unknown style {style.kind!r}")
 
 

@@ -58,6 +58,43 @@ def chat_prompt_llama2(spark, sf):
     return _prompt(spark, sf, "llama_2")
 
 
+def _literal(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def _template_sql(name: str) -> str:
+    """The SQL of a template with its own system text, by kind."""
+    style = chat.STYLES[name]
+    s, a, b = _literal(style.system), _literal(style.sep), _literal(style.sep2)
+    either = f"CASE WHEN i % 2 = 0 THEN {a} ELSE {b} END"
+    if style.kind == "single":
+        sql = _sql(style, f"{s} || {a}", f"role || ': ' || text || {a}", "role || ':'")
+    elif style.kind == "two":
+        sql = _sql(style, f"{s} || {a}", f"role || ': ' || text || {either}", "role || ':'")
+    elif style.kind == "mpt":
+        sql = _sql(style, f"{s} || {a}", f"role || text || {a}", "role")
+    elif style.kind == "plain":
+        sql = _sql(style, s, f"text || {either}", "''")
+    elif style.kind == "spaced":
+        sql = _sql(style, f"{s} || chr(10) || chr(10) || {_literal(style.sep + ' ')}", f"role || ': ' || text || chr(10) || {_literal(style.sep + ' ')}", "role || ':'")
+    else:
+        head = f"CASE WHEN i = 0 THEN {_literal(f'<<SYS>>{chr(10)}{style.system}{chr(10)}<</SYS>>{chr(10)}{chr(10)}') if style.system else repr('')} ELSE '' END"
+        sql = _sql(style, "''", f"CASE WHEN i % 2 = 0 THEN {a} || '[INST] ' || {head} || text || ' [/INST]' ELSE ' ' || text || ' ' || {b} END", "''")
+        sql = f"SELECT conv_id, {'ltrim(prompt, ' + a + ')' if style.sep else 'prompt'} AS prompt FROM ({sql})"
+    return f"SELECT {_literal(name)} AS template, conv_id, prompt FROM ({sql})"
+
+
+@query(" UNION ALL ".join(map(_template_sql, chat.STYLES)))
+def chat_templates(spark, sf):
+    """Each conversation in each named template, read and gathered once."""
+    roles = F.create_map(*(x for k, v in (("user", 0), ("assistant", 1)) for x in (F.lit(k), F.lit(v))))
+    plain = chat.Style("plain", roles=("user", "assistant"))
+    rows = chat.messages_of(read(spark, sf, "conversations"), plain)
+    named = lambda s: F.transform("messages", lambda m: F.struct(F.coalesce(F.get(F.array(*map(F.lit, s.roles)), F.try_element_at(roles, m["role"])), m["role"]).alias("role"), m["content"].alias("content")))
+    all_ = F.array(*(F.struct(F.lit(n).alias("template"), chat.prompt(named(s), s).alias("prompt")) for n, s in chat.STYLES.items()))
+    return rows.select("conv_id", F.explode(all_).alias("t")).select("t.template", "conv_id", "t.prompt")
+
+
 _CHOICES = "SELECT conv_id AS request_id, turn // 2 AS input_pos, turn % 2 AS choice, turn * 10 AS created, CASE WHEN turn % 3 = 0 THEN NULL ELSE 'length' END AS finish_reason, CASE WHEN turn % 5 = 4 THEN NULL ELSE text END AS content, length(text) AS k FROM conversations"
 
 

@@ -113,6 +113,28 @@ def sketch_features(spark, sf):
     return rounded(graph.sketch_features(sig, part_pairs(spark, sf), 8))
 
 
+# The same at the default of 128 functions, with a row for each function instead of a column.
+_FULL = graph.hash_family(128)
+_LONG = f"""
+    fam AS (SELECT * FROM (VALUES {", ".join(f"({k}, {a}::BIGINT, {b}::BIGINT)" for k, (a, b) in enumerate(_FULL))}) AS t(k, a, b)),
+    z0 AS MATERIALIZED (SELECT p_partkey AS id, k, (a * p_partkey + b) % 2147483647 AS s FROM part, fam),
+    z1 AS MATERIALIZED (SELECT id, k, min(s) AS s FROM (SELECT id, k, s FROM z0 UNION ALL SELECT src, k, s FROM adj JOIN z0 ON id = dst) GROUP BY 1, 2),
+    z2 AS MATERIALIZED (SELECT id, k, min(s) AS s FROM (SELECT id, k, s FROM z1 UNION ALL SELECT src, k, s FROM adj JOIN z1 ON id = dst) GROUP BY 1, 2),
+    z AS MATERIALIZED (SELECT id, k, z0.s AS s0, z1.s AS s1, z2.s AS s2 FROM z0 JOIN z1 USING (id, k) JOIN z2 USING (id, k)),
+    card AS MATERIALIZED (SELECT id, {", ".join(f"greatest(128 / greatest(sum(s{h} / 2147483647.0::DOUBLE), 1e-9) - 1, 0) AS c{h}" for h in range(3))} FROM z GROUP BY 1)"""
+_LONG_SAMES = ", ".join(f"sum((a.s{p} = b.s{q})::INTEGER) / 128.0::DOUBLE AS j{p}{q}" for p in range(3) for q in range(3))
+
+
+@query(
+    f"""WITH {GRAPH}, {_LONG}, j AS (SELECT u, v, {_LONG_SAMES} FROM pairs JOIN z a ON a.id = u JOIN z b ON b.id = v AND b.k = a.k GROUP BY 1, 2),
+    s AS (SELECT j.*, x.c0 AS cu0, x.c1 AS cu1, x.c2 AS cu2, y.c0 AS cv0, y.c1 AS cv1, y.c2 AS cv2 FROM j JOIN card x ON x.id = u JOIN card y ON y.id = v), t AS (SELECT *, {_INTER} FROM s)
+    SELECT u, v, {_CELLS}, round(i22, 6) AS i22, round(ln(1 + cu2), 6) AS lcard2_i, round(ln(1 + cv2), 6) AS lcard2_j FROM t"""
+)
+def sketch_features_full(spark, sf):
+    sig = graph.minhash(part_nodes(spark, sf), part_adjacency(spark, sf), hops=2, family=_FULL)
+    return rounded(graph.sketch_features(sig, part_pairs(spark, sf), 128))
+
+
 def _hops(spark, sf):
     norm = graph.normalized_adjacency(part_nodes(spark, sf), part_edges(spark, sf))
     return graph.diffuse(part_features(spark, sf), norm, 2)
@@ -162,17 +184,17 @@ def induced_subgraph(spark, sf):
     return graph.induced_subgraph(part_edges(spark, sf), graph.bfs_subgraph(part_adjacency(spark, sf), 150))
 
 
-_SPLIT = """
+SPLIT = """
     o AS (SELECT src, dst, row_number() OVER (ORDER BY ((48271 * src + 3) % 2147483647 + (69621 * dst + 3) % 2147483647) % 2147483647, src, dst) AS k, count(*) OVER () AS n FROM und),
     split AS (SELECT src, dst, CASE WHEN k <= n // 10 THEN 'test' WHEN k <= n // 10 + n // 20 THEN 'valid' ELSE 'train' END AS split FROM o)"""
 
 
-@query(f"WITH {GRAPH}, {_SPLIT} SELECT src, dst, split FROM split")
+@query(f"WITH {GRAPH}, {SPLIT} SELECT src, dst, split FROM split")
 def edge_split(spark, sf):
     return graph.edge_split(graph.canonical_edges(part_edges(spark, sf)))
 
 
-@query(f"WITH {GRAPH}, {_SPLIT} SELECT src, dst, 1.0::DOUBLE AS w FROM split WHERE split IN ('train', 'valid')")
+@query(f"WITH {GRAPH}, {SPLIT} SELECT src, dst, 1.0::DOUBLE AS w FROM split WHERE split IN ('train', 'valid')")
 def message_graph(spark, sf):
     return graph.message_graph(graph.edge_split(graph.canonical_edges(part_edges(spark, sf))))
 

@@ -4,8 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import graph
+from ..shared import scratch
 from ..sources import readers, writers
 from ..streaming import events as ev
+from .graph_queries import GRAPH, SPLIT, part_edges
 from .registry import query, read, rounded
 
 # A training log made from order lines: a header for each third line, then a result.
@@ -147,3 +150,62 @@ def growing_degrees(spark, sf):
 @query("SELECT ts::DATE AS day, arg_max(event_id, ts) AS last_event, arg_max(event_type, ts) AS last_type, count(*) AS n FROM events GROUP BY 1")
 def log_status(spark, sf):
     return ev.rolling_status(read(spark, sf, "events"))
+
+
+@query(f"WITH {GRAPH}, {SPLIT} SELECT src, dst, 1.0::DOUBLE AS w FROM split WHERE split = 'train'")
+def corpus_edges(spark, sf):
+    folder = scratch(spark, "corpus")
+    writers.bundle(folder, edges=part_edges(spark, sf))
+    return readers.graph_corpus(spark, folder, "edges")["edges"]
+
+
+@query(f"WITH {GRAPH}, {SPLIT} SELECT src, dst, w, split FROM split JOIN und USING (src, dst)")
+def corpus_presplit(spark, sf):
+    folder, edges = scratch(spark, "corpus"), part_edges(spark, sf)
+    writers.bundle(folder, edges=edges, split=graph.edge_split(graph.canonical_edges(edges)))
+    corpus = readers.graph_corpus(spark, folder, "presplit")
+    return corpus["edges"].join(corpus["split"], ["src", "dst"])
+
+
+@query(f"WITH {GRAPH} SELECT src, dst, w, len(embedding)::INTEGER AS dim FROM und LEFT JOIN embeddings ON vec_id = src")
+def context_bundle(spark, sf):
+    folder = scratch(spark, "context")
+    writers.bundle(folder, edges=part_edges(spark, sf), nodes=read(spark, sf, "embeddings").select(F.col("vec_id").alias("src"), "embedding"))
+    context = readers.context_bundle(spark, folder)
+    return context["edges"].join(context["nodes"], "src", "left").select("src", "dst", "w", F.when(F.col("embedding").isNotNull(), F.size("embedding")).alias("dim"))
+
+
+@query("SELECT p_partkey AS pid, p_name || '. ' || CASE WHEN p_size % 2 = 0 THEN '' ELSE p_brand END AS text FROM part")
+def positional_csv(spark, sf):
+    path = scratch(spark, "titles") + "/rows"
+    rows = read(spark, sf, "part").select("p_partkey", "p_name", F.when(F.col("p_size") % 2 == 1, F.col("p_brand")))
+    rows.write.csv(path, sep="\t", compression="gzip")
+    return readers.titled_texts(readers.positional_csv(spark, path, readers.TITLES, sep="\t"))
+
+
+@query(
+    """WITH r AS (SELECT 'room' || id AS room, round(sin(id * 8 + 1)::FLOAT::DOUBLE, 5) AS first_value FROM (SELECT unnest(range(300)) AS id)),
+    l AS (SELECT 'room' || ((16807 * p_partkey + 3) % 2147483647 % 300) AS from_room, 'room' || ((48271 * p_partkey + 5) % 2147483647 % 300) AS to_room FROM part)
+    SELECT from_room, to_room, first_value, count(*) AS n FROM l JOIN r ON room = from_room GROUP BY ALL"""
+)
+def synthetic_links(spark, sf):
+    links, vectors = readers.synthetic_links(spark, 300, read(spark, sf, "part").count())
+    both = links.join(vectors, links["from_room"] == vectors["room"]).select("from_room", "to_room", F.round(F.col("emb")[0].cast("double"), 5).alias("first_value"))
+    return both.groupBy("from_room", "to_room", "first_value").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT n_nationkey, n_name FROM nation")
+def written_once(spark, sf):
+    path, nations = scratch(spark, "once") + "/nations", read(spark, sf, "nation").select("n_nationkey", "n_name")
+    writers.once(nations, path)
+    writers.once(nations.withColumn("n_name", F.lit("later")), path)
+    return spark.read.schema(nations.schema).parquet(path)
+
+
+@query("SELECT 'events' AS name, count(*) AS n, max(event_id) AS last_event FROM events")
+def rolling_result(spark, sf):
+    path, events = scratch(spark, "state") + "/newest", read(spark, sf, "events")
+    state = lambda e: e.groupBy().agg(F.lit("events").alias("name"), F.count(F.lit(1)).alias("n"), F.max("event_id").alias("last_event"))
+    writers.rolling_result(state(events.where("event_type = 'click'")), path)
+    writers.rolling_result(state(events), path)
+    return spark.read.schema("name string, n bigint, last_event bigint").json(path)

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from brightwell.functions import text as tx
-from brightwell.operators import detection, layout, metrics, vectors
+from brightwell.operators import chat, detection, layout, metrics, vectors
 
 
 def value(spark, column, **given):
@@ -180,3 +180,14 @@ def test_hits_and_ece(spark):
     assert {r["k"]: r["hits"] for r in metrics.hits_at_k(s, [1, 2, 3]).collect()} == {1: 0.5, 2: 1.0, 3: 1.0}
     p = spark.createDataFrame([(0.05, 0), (0.95, 1), (1.0, 0)], "p double, label int")
     assert abs(metrics.ece(p).first()["ece"] - (0.05 + 0.05) / 3) < 1e-9
+
+
+def test_templates(spark):
+    """A style without a separator takes no leading characters off; one with it does; an open turn leaves its cue."""
+    rows = spark.createDataFrame([(1, 0, "user", "<hello>"), (1, 1, "assistant", "hi"), (1, 2, "user", "more"), (1, 3, "assistant", None)], "conv_id int, turn int, role string, text string")
+    text = lambda name, **k: chat.messages_of(rows, chat.STYLES[name]).select(chat.prompt(F.col("messages"), chat.STYLES[name], **k)).first()[0]
+    assert text("mistral_instruct") == "[INST] <hello> [/INST] hi </s>[INST] more [/INST]"
+    assert text("llama_2", system="S") == "[INST] <<SYS>>\nS\n<</SYS>>\n\n<hello> [/INST] hi </s><s>[INST] more [/INST]"
+    assert text("chatml_direct").endswith("<|im_end|><|im_start|>user\nmore<|im_end|><|im_start|>assistant\n")
+    assert text("v1_mmtag").endswith("USER: <hello> ASSISTANT: hi</s>USER: more ASSISTANT:")
+    assert text("plain") == "<hello>\nhimore\n"
