@@ -58,6 +58,7 @@ def rows():
 @pytest.mark.parametrize("block", [1000, 4])
 def test_against_brute_force(spark, rows, block, monkeypatch):
     monkeypatch.setattr(similar, "BLOCK", block)
+    monkeypatch.setattr(similar, "STAR_ROWS", block)
     frame = spark.createDataFrame([(i, t, "en", "d", 1, "k", 2) for i, t in rows], SCHEMA)
     got = {r["doc_id"]: r["component_id"] for r in similar.classes(frame).collect()}
     want = brute(rows)
