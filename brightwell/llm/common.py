@@ -128,6 +128,25 @@ def key_filter(keys: DataFrame, *, max_bytes: int = FILTER_BYTES) -> KeyFilter:
     return KeyFilter(spark.sparkContext.broadcast(bits.tobytes()), words)
 
 
+#: Rows of a key that one task joins, where there are no more than HOT_KEYS such keys; else more.
+DEAL_ROWS, HOT_KEYS = 1000, 100_000
+
+
+def dealt_join(left: DataFrame, right: DataFrame, key: str, rows: str, how: str = "inner") -> DataFrame:
+    """left.join(right, key, how), where right (written) has a row for each key and in `rows` how many of left have it.
+
+    The rows of a key that has many are dealt over tasks, and right's row is
+    sent to each. Of such keys there are at most HOT_KEYS, so they may be
+    broadcast.
+    """
+    most = max(DEAL_ROWS, (right.agg(F.sum(rows)).first()[0] or 0) // HOT_KEYS)
+    deals = F.ceil(F.col(rows) / F.lit(most)).cast("int")
+    hot = F.broadcast(right.where(F.col(rows) > most).select(key, deals.alias("deals__")))
+    own = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.coalesce("deals__", F.lit(1))).cast("int")
+    dealt = left.join(hot, key, "left").withColumn("deal__", own).drop("deals__")
+    return dealt.join(right.withColumn("deal__", F.explode(F.sequence(F.lit(0), deals - 1))), [key, "deal__"], how).drop("deal__")
+
+
 #: Columns that tell documents apart: rows that agree in id and text (null unlike empty) are one document given twice.
 KEY = ["k0__", "k1__", "k2__"]
 

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import KEY, batches_of, bounded_batches, gone_or_repeated, keep_rows, key_filter, open_bytes, put_bytes, scratch, temporary, with_row_key, written
+from .common import KEY, batches_of, bounded_batches, dealt_join, gone_or_repeated, keep_rows, key_filter, open_bytes, put_bytes, scratch, temporary, with_row_key, written
 
 #: Entries of a memtable; at about 200 bytes each this bounds a worker's memory.
 MEMTABLE = 100_000
@@ -306,7 +306,7 @@ def dedup(documents: DataFrame, *, keep: str = "min", digest_bytes: int = 32, me
     Texts are moved only for hits, once a task and digest.
     """
     members, hits, split = _grouped(documents, keep, digest_bytes, memtable, fan)
-    out = members.join(hits, "digest", "left").select(
+    out = dealt_join(members, hits, "digest", "group_size", "left").select(
         "doc_id", "digest",
         F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"),
         F.coalesce("group_size", F.lit(1).cast("bigint")).alias("group_size"),
@@ -381,10 +381,10 @@ def unique(documents: DataFrame, *, keep: str = "min") -> DataFrame:
         members, hits, split = _grouped(documents, keep, 32, MEMTABLE, FAN)
         if split is not None:
             raise ValueError("different texts with one SHA-256")
-        met = written(members.join(hits.select("digest"), "digest"), "exact-met")
+        met = written(dealt_join(members, hits.select("digest", "group_size"), "digest", "group_size").drop("group_size"), "exact-met")
         id_, none = F.col("doc_id"), F.col("doc_id").isNull()
         first = F.min(F.struct(none, id_, *KEY)) if keep == "min" else F.max(F.struct(~none, id_, *KEY))
-        winners = met.groupBy("digest").agg(first.alias("w"))
+        winners = written(met.groupBy("digest").agg(first.alias("w"), F.count(F.lit(1)).alias("n")), "exact-winners")
         stays = (F.col("k0__") == F.col("w.k0__")) & (F.col("k1__") == F.col("w.k1__")) & (F.col("k2__") == F.col("w.k2__"))
-        known = written(gone_or_repeated(met.join(winners, "digest"), stays), "exact-known", keep=True)
+        known = written(gone_or_repeated(dealt_join(met, winners, "digest", "n"), stays), "exact-known", keep=True)
     return keep_rows(documents, known)

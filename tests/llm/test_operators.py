@@ -12,7 +12,7 @@ import xxhash
 import zstandard
 from pyspark.sql import functions as F
 
-from brightwell.llm import decontaminate, exact_dedup, licenses, line_dedup, quality, queries, rans, sentencepieces, sharding, simhash, token_files, warc
+from brightwell.llm import common, decontaminate, exact_dedup, licenses, line_dedup, quality, queries, rans, sentencepieces, sharding, simhash, token_files, warc
 from brightwell.llm.components import components
 
 from ..conftest import DATA
@@ -140,8 +140,9 @@ def lowered(t):
 
 @pytest.mark.parametrize(("digest_bytes", "fan"), [(32, 32), (32, 2), (1, 4)])
 @pytest.mark.parametrize("keep", ["min", "max"])
-def test_exact_dedup(spark, odd_rows, keep, digest_bytes, fan):
+def test_exact_dedup(spark, odd_rows, keep, digest_bytes, fan, monkeypatch):
     """With one byte of digest different texts share one, which the byte comparison must tell; a small fan takes several levels."""
+    monkeypatch.setattr(common, "DEAL_ROWS", 2)
     rows = odd_rows
     groups = {}
     for i, t in rows:
@@ -158,8 +159,9 @@ def test_exact_dedup(spark, odd_rows, keep, digest_bytes, fan):
 
 
 @pytest.mark.parametrize("keep", ["min", "max"])
-def test_exact_unique(spark, odd_rows, keep):
+def test_exact_unique(spark, odd_rows, keep, monkeypatch):
     """Each text once, under the id that stays; no text is lost with an id, none stays twice."""
+    monkeypatch.setattr(common, "DEAL_ROWS", 2)
     rows = [(1, "x"), (1, "y"), (2, "x"), (7, "Q"), (7, "q"), *((100 + k, t) for k, (_, t) in enumerate(odd_rows)), *odd_rows]
     left = exact_dedup.unique(docs(spark, rows), keep=keep)
     assert left.columns == docs(spark, []).columns
