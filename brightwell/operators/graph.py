@@ -7,19 +7,24 @@ skew join splits hubs; nothing is collected.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+from collections.abc import Iterator, Sequence
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..ranges import running
-from ..shared import written
+from ..shared import temporary, written
 
 #: Modulus of the hash family h(x) = (a * x + b) mod P.
 P = 2147483647
 #: Stands for "no neighbour" in a sketch.
 NO_HASH = 4294967295
+#: Sketches that a task holds while their nodes' neighbours send theirs, in bytes; links gathered and sketches passed on at a time.
+BLOCK_BYTES, GATHERED, SENT = 1 << 26, 1 << 15, 4096
 
 
 def affine(x: Column, a: int, b: int) -> Column:
@@ -118,42 +123,177 @@ def structural_features(adj: DataFrame, pairs: DataFrame) -> DataFrame:
     return out.select("u", "v", "cn", "aa", "ra", "log_pa", "jaccard", "wcn", "cn_deg_sum", "cn_deg_min", "deg_i", "deg_j")
 
 
-def minhash(nodes: DataFrame, adj: DataFrame, *, hops: int = 2, family: Sequence[tuple[int, int]] | None = None) -> DataFrame:
-    """MinHash of closed neighbourhoods: id and columns s{hop}_{k}.
+def _packed(sketches: np.ndarray) -> pa.Array:
+    """Rows of unsigned 32-bit numbers as binary values."""
+    n, width = sketches.shape
+    offsets = np.arange(n + 1, dtype=np.int32) * np.int32(4 * width)
+    return pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(sketches, dtype="<u4"))])
+
+
+def _unpacked(column: pa.Array, k: int) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), dtype="<u4").reshape(-1, k)
+
+
+def _own_hashes(ids: np.ndarray, family: Sequence[tuple[int, int]]) -> np.ndarray:
+    """affine of each id (int64) for each function: a sketch of hop 0."""
+    rest, out = ids % P, np.empty((len(ids), len(family)), dtype=np.uint32)
+    for j, (a, b) in enumerate(family):
+        out[:, j] = (a * rest + b) % P
+    return out
+
+
+class _Least:
+    """Minimum of the sketches that each id was sent, in memory; ids in `own` are nodes."""
+
+    def __init__(self, k: int):
+        self.ids, self.at = np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)  # sorted, and their rows
+        self.rows, self.own = np.empty((0, k), dtype=np.uint32), np.empty(0, dtype=bool)
+
+    def places(self, ids: np.ndarray) -> np.ndarray:
+        """Rows of sorted distinct ids; new ones get a row."""
+        where = np.searchsorted(self.ids, ids)
+        known = np.zeros(len(ids), dtype=bool)
+        inside = where < len(self.ids)
+        known[inside] = self.ids[where[inside]] == ids[inside]
+        new = ids[~known]
+        if len(new):
+            used = len(self.ids)
+            if used + len(new) > len(self.rows):
+                more = max(len(new), len(self.rows) // 2)
+                self.rows = np.concatenate([self.rows, np.full((more, self.rows.shape[1]), NO_HASH, dtype=np.uint32)])
+                self.own = np.concatenate([self.own, np.zeros(more, dtype=bool)])
+            self.ids = np.insert(self.ids, where[~known], new)
+            self.at = np.insert(self.at, where[~known], np.arange(used, used + len(new)))
+            where = np.searchsorted(self.ids, ids)
+        return self.at[where]
+
+    def add(self, sketches: np.ndarray, lengths: np.ndarray, to: np.ndarray) -> None:
+        """Sketch i goes to the next lengths[i] ids of `to`."""
+        order = np.argsort(to, kind="stable")
+        to, sent = to[order], np.repeat(np.arange(len(lengths)), lengths)[order]
+        for k in range(0, len(to), GATHERED):
+            ids, starts = np.unique(to[k : k + GATHERED], return_index=True)
+            least, at = np.minimum.reduceat(sketches[sent[k : k + GATHERED]], starts, axis=0), self.places(ids)
+            self.rows[at] = np.minimum(self.rows[at], least)
+
+
+def messages(nodes: DataFrame, adj: DataFrame, *, k: int = 128) -> tuple[DataFrame, int]:
+    """Who is sent whose sketch of k functions: (id, block, own, receivers), and the number of blocks.
+
+    Nodes are dealt into blocks by stretches of ids, as many as a task holds
+    sketches of in BLOCK_BYTES, and a node sends its sketch once to each block
+    where it has neighbours, itself included (own, for nodes only).
+    """
+    n = nodes.count()
+    blocks = max(math.ceil(4 * k * n / BLOCK_BYTES), nodes.sparkSession.sparkContext.defaultParallelism)
+    width = math.ceil(n / blocks) | 1
+    block = lambda c: F.expr(f"pmod({c} div {width}, {blocks})")
+    links = adj.select(F.col("dst").cast("bigint").alias("id"), F.col("src").cast("bigint").alias("src")).where("id is not null and src is not null")
+    # Dealt by the sender alone first: lists are made after the one shuffle of the links, not sent in pieces.
+    near = links.repartition("id").groupBy("id", block("src").alias("block")).agg(F.collect_list("src").alias("receivers"))
+    own = nodes.select(F.col("id").cast("bigint").alias("id")).where("id is not null").distinct()
+    own = own.select("id", block("id").alias("block"), F.lit(True).alias("own"), F.array("id").alias("receivers"))
+    return near.select("id", "block", F.lit(False).alias("own"), "receivers").unionByName(own), blocks
+
+
+def _a_task_each(spark: SparkSession, blocks: int) -> Column:
+    """For each block (column block) a number that Spark deals to a partition of its own, of as many as there are blocks."""
+    tried = spark.range(32 * blocks).select("id", F.pmod(F.hash("id"), F.lit(blocks)).alias("at")).groupBy("at").agg(F.min("id").alias("id"))
+    found = {r["at"]: r["id"] for r in tried.collect()}
+    return F.element_at(F.lit([found.get(b, b) for b in range(blocks)]).cast("array<bigint>"), F.col("block").cast("int") + 1)
+
+
+def sketches(nodes: DataFrame, adj: DataFrame, *, hops: int = 2, family: Sequence[tuple[int, int]] | None = None) -> list[DataFrame]:
+    """MinHash of closed neighbourhoods, for each hop: (id, s), s the minima of all functions as packed unsigned 32-bit numbers.
 
     Hop 0 hashes the node itself; each hop takes the minimum over the node
-    and its neighbours, in partial aggregates before the shuffle. Up to some
-    30 functions a hop's columns stay in generated code
-    (spark.sql.codegen.maxFields is 100); more are aggregated without it.
+    and its neighbours. Sketches are sent by block, not by edge, and minima are
+    taken in the task that holds the block: a hop shuffles the links and, of
+    each sketch, as many copies as there are blocks at most.
     """
     family = hash_family(128) if family is None else family
-    k = len(family)
-    sig = nodes.select("id", *(affine(F.col("id"), a, b).alias(f"s0_{j}") for j, (a, b) in enumerate(family)))
-    links = written(adj.select("src", "dst"), "links")  # read at each hop
-    for hop in range(1, hops + 1):
-        around = links.join(sig.select(F.col("id").alias("dst"), *(f"s{hop - 1}_{j}" for j in range(k))), "dst")
-        least = around.groupBy(F.col("src").alias("id")).agg(*(F.min(f"s{hop - 1}_{j}").alias(f"m_{j}") for j in range(k)))
-        sig = sig.join(least, "id", "left").select(*sig.columns, *(F.least(F.col(f"s{hop - 1}_{j}"), F.coalesce(F.col(f"m_{j}"), F.lit(NO_HASH))).alias(f"s{hop}_{j}") for j in range(k)))
-    return sig
-
-
-def cardinality(values: Sequence[Column]) -> Column:
-    """Size of the set behind MinHash values: K / sum(h / P) - 1, not below 0."""
-    total = sum((v / F.lit(float(P)) for v in values), F.lit(0.0))
-    return F.greatest(F.lit(float(len(values))) / F.greatest(total, F.lit(1e-9)) - 1.0, F.lit(0.0))
-
-
-def sketch_features(sig: DataFrame, pairs: DataFrame, k: int) -> DataFrame:
-    """c11, c12, c21, c22, i22, lcard2_i, lcard2_j of each pair, by inclusion and exclusion of hop intersections."""
-    left = sig.select(*(F.col(c).alias("u" if c == "id" else f"u_{c}") for c in sig.columns))
-    right = sig.select(*(F.col(c).alias("v" if c == "id" else f"v_{c}") for c in sig.columns))
-    both = pairs.select("u", "v").join(left, "u").join(right, "v")
-    cols = {x: [[F.col(f"{x}_s{h}_{j}") for j in range(k)] for h in range(3)] for x in "uv"}
-    both = both.select("u", "v", *(cardinality(cols[x][h]).alias(f"card_{x}{h}") for x in "uv" for h in range(3)),
-                       *((sum(((a == b).cast("int") for a, b in zip(cols["u"][p], cols["v"][q])), F.lit(0)) / F.lit(float(k))).alias(f"j{p}{q}") for p in range(3) for q in range(3)))
-    both = both.select("u", "v", "card_u2", "card_v2", *(F.greatest(F.col(f"j{p}{q}") * (F.col(f"card_u{p}") + F.col(f"card_v{q}")) / (1 + F.col(f"j{p}{q}")), F.lit(0.0)).alias(f"i{p}{q}") for p in range(3) for q in range(3)))
-    cell = lambda p, q: F.greatest(F.col(f"i{p}{q}") - F.col(f"i{p - 1}{q}") - F.col(f"i{p}{q - 1}") + F.col(f"i{p - 1}{q - 1}"), F.lit(0.0))
-    return both.select("u", "v", cell(1, 1).alias("c11"), cell(1, 2).alias("c12"), cell(2, 1).alias("c21"), cell(2, 2).alias("c22"), "i22", F.log1p("card_u2").alias("lcard2_i"), F.log1p("card_v2").alias("lcard2_j"))
+    k, spark = len(family), nodes.sparkSession
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), _packed(_own_hashes(b.column(0).to_numpy(), family))], names=["id", "s"])
+
+    def least(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = _Least(k)
+        for b in batches:
+            lists = b.column("receivers")
+            to, lengths = lists.flatten().to_numpy(zero_copy_only=False), lists.value_lengths().to_numpy(zero_copy_only=False)
+            held.add(_unpacked(b.column("s"), k), lengths, to)
+            nodes_ = np.unique(b.column("id").filter(b.column("own")).to_numpy())
+            held.own[held.places(nodes_)] = True
+        at = held.at[held.own[held.at]]
+        ids = held.ids[held.own[held.at]]
+        for i in range(0, len(ids), SENT):
+            yield pa.RecordBatch.from_arrays([pa.array(ids[i : i + SENT]), _packed(held.rows[at[i : i + SENT]])], names=["id", "s"])
+
+    out = [nodes.select(F.col("id").cast("bigint").alias("id")).where("id is not null").distinct().mapInArrow(hashed, "id bigint, s binary")]
+    with temporary(spark):
+        sent, blocks = messages(nodes, adj, k=k)
+        sent, task = written(sent, "messages"), _a_task_each(spark, blocks)  # read at each hop
+        for _ in range(hops):
+            dealt = sent.join(out[-1], "id").select("id", "block", "own", "receivers", "s").repartition(blocks, task)
+            out.append(written(dealt.mapInArrow(least, "id bigint, s binary"), "sketches", keep=True))
+    return out
+
+
+def minhash(nodes: DataFrame, adj: DataFrame, *, hops: int = 2, family: Sequence[tuple[int, int]] | None = None) -> DataFrame:
+    """The sketches as numbers: id and columns s{hop}_{k}. A node without id has no hash and no neighbour."""
+    family = hash_family(128) if family is None else family
+    k, names = len(family), ["id", *(f"s{hop}_{j}" for hop in range(hops + 1) for j in range(len(family)))]
+
+    def numbers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        none = [np.zeros(k, dtype="<u4").tobytes(), *[np.full(k, NO_HASH, dtype="<u4").tobytes()] * hops]
+        for b in batches:
+            missing, columns = b.column(0).is_null().to_numpy(zero_copy_only=False), [b.column(0)]
+            for hop in range(hops + 1):
+                values = _unpacked(b.column(hop + 1).fill_null(none[hop]), k).astype(np.int64)
+                columns += [pa.array(values[:, j], mask=missing if hop == 0 else None) for j in range(k)]
+            yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    rows = nodes.select("id")
+    for hop, s in enumerate(sketches(nodes, adj, hops=hops, family=family)):
+        rows = rows.join(s.withColumnRenamed("s", f"s{hop}"), "id", "left")
+    return rows.mapInArrow(numbers, f"id {nodes.schema['id'].dataType.simpleString()}, " + ", ".join(f"{c} bigint" for c in names[1:]))
+
+
+def _cardinality(sketches: np.ndarray) -> np.ndarray:
+    """Sizes of the sets behind MinHash values: K / sum(h / P) - 1, not below 0."""
+    total = np.zeros(len(sketches))
+    for j in range(sketches.shape[1]):
+        total += sketches[:, j] / float(P)
+    return np.maximum(sketches.shape[1] / np.maximum(total, 1e-9) - 1.0, 0.0)
+
+
+def sketch_features(sketches: Sequence[DataFrame], pairs: DataFrame, family: Sequence[tuple[int, int]]) -> DataFrame:
+    """c11, c12, c21, c22, i22, lcard2_i, lcard2_j of each pair, by inclusion and exclusion of hop intersections.
+
+    sketches: of hops 0, 1 and 2; those of hop 0 are made anew from the ids instead of being sent.
+    """
+    k, names = len(family), ["c11", "c12", "c21", "c22", "i22", "card_u2", "card_v2"]
+
+    def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            u = [_own_hashes(b.column(0).to_numpy(), family), _unpacked(b.column(2), k), _unpacked(b.column(3), k)]
+            v = [_own_hashes(b.column(1).to_numpy(), family), _unpacked(b.column(4), k), _unpacked(b.column(5), k)]
+            cu, cv, i = [*map(_cardinality, u)], [*map(_cardinality, v)], {}
+            for p in range(3):
+                for q in range(3):
+                    same = (u[p] == v[q]).sum(axis=1) / float(k)
+                    i[p, q] = np.maximum(same * (cu[p] + cv[q]) / (1 + same), 0.0)
+            cells = [np.maximum(i[p, q] - i[p - 1, q] - i[p, q - 1] + i[p - 1, q - 1], 0.0) for p in (1, 2) for q in (1, 2)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *map(pa.array, [*cells, i[2, 2], cu[2], cv[2]])], names=["u", "v", *names])
+
+    both = sketches[1].withColumnRenamed("s", "s1").join(sketches[2].withColumnRenamed("s", "s2"), "id")
+    ends = pairs.select(F.col("u").cast("bigint").alias("u"), F.col("v").cast("bigint").alias("v"))
+    for x in "uv":
+        ends = ends.join(both.select(F.col("id").alias(x), F.col("s1").alias(f"{x}1"), F.col("s2").alias(f"{x}2")), x)
+    out = ends.select("u", "v", "u1", "u2", "v1", "v2").mapInArrow(features, "u bigint, v bigint, " + ", ".join(f"{c} double" for c in names))
+    return out.select("u", "v", "c11", "c12", "c21", "c22", "i22", F.log1p("card_u2").alias("lcard2_i"), F.log1p("card_v2").alias("lcard2_j"))
 
 
 def normalized_adjacency(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -181,8 +321,6 @@ def diffuse(features: DataFrame, norm: DataFrame, hops: int = 2, *, checkpoint=N
 
 def hop_attention(hops: Sequence[DataFrame], logits: Sequence[float] | None = None) -> DataFrame:
     """Sum of the hops weighted by softmax of the logits (equal if none are given)."""
-    import math
-
     logits = [0.0] * len(hops) if logits is None else logits
     top = max(logits)
     weights = [math.exp(x - top) for x in logits]

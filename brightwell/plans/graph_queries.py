@@ -109,8 +109,8 @@ _CELLS = ", ".join(f"round(greatest(i{p}{q} - i{p - 1}{q} - i{p}{q - 1} + i{p -
     SELECT u, v, {_CELLS}, round(i22, 6) AS i22, round(ln(1 + cu2), 6) AS lcard2_i, round(ln(1 + cv2), 6) AS lcard2_j FROM t"""
 )
 def sketch_features(spark, sf):
-    sig = graph.minhash(part_nodes(spark, sf), part_adjacency(spark, sf), hops=2, family=FAMILY)
-    return rounded(graph.sketch_features(sig, part_pairs(spark, sf), 8))
+    sketches = graph.sketches(part_nodes(spark, sf), part_adjacency(spark, sf), hops=2, family=FAMILY)
+    return rounded(graph.sketch_features(sketches, part_pairs(spark, sf), FAMILY))
 
 
 # The same at the default of 128 functions, with a row for each function instead of a column.
@@ -131,8 +131,8 @@ _LONG_SAMES = ", ".join(f"sum((a.s{p} = b.s{q})::INTEGER) / 128.0::DOUBLE AS j{p
     SELECT u, v, {_CELLS}, round(i22, 6) AS i22, round(ln(1 + cu2), 6) AS lcard2_i, round(ln(1 + cv2), 6) AS lcard2_j FROM t"""
 )
 def sketch_features_full(spark, sf):
-    sig = graph.minhash(part_nodes(spark, sf), part_adjacency(spark, sf), hops=2, family=_FULL)
-    return rounded(graph.sketch_features(sig, part_pairs(spark, sf), 128))
+    sketches = graph.sketches(part_nodes(spark, sf), part_adjacency(spark, sf), hops=2, family=_FULL)
+    return rounded(graph.sketch_features(sketches, part_pairs(spark, sf), _FULL))
 
 
 def _hops(spark, sf):
