@@ -190,10 +190,10 @@ def unique(documents: DataFrame, *, shingle: int = 3, similarity: float | None =
     """The documents of which exactly one stays for each component, with all columns: that with the smallest doc_id.
 
     Without a similarity, components are those of near_dedup. With one, texts
-    are linked whose sets of shingles have that Jaccard similarity or more;
-    Golay keys find few of these (at 0.8 two fingerprints lie about ten of 64
-    bits apart, see the README), so MinHash bands retrieve them in their place
-    (similar.py). Decided by id and text: other texts of an id that goes are
+    are linked whose sets of shingles have that Jaccard similarity or more:
+    Golay keys of several fingerprints a text retrieve them, the exact
+    similarity decides, and MinHash bands go through the rest that no such key
+    joins (similar.py). Decided by id and text: other texts of an id that goes are
     not touched. Rows without an id go where their component has another, and
     rows that repeat id and text are one document. An empty table gives an
     empty one.

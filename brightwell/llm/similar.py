@@ -1,11 +1,13 @@
 """Links between texts whose sets of word shingles have a given Jaccard similarity: operator 4 beyond two bits.
 
-At similarity 0.8 two SimHash fingerprints lie about ten of 64 bits apart,
-where Golay keys either miss or, as short as that asks for, meet by chance in
-numbers that grow with the square of the rows. Here bands of MinHash values
-retrieve pairs, and the exact similarity of the shingle sets decides. BANDS
-of ROWS values each miss a pair with probability (1 - s ** ROWS) ** BANDS,
-at most MISS; no other step leaves a pair out.
+SimHash retrieves: each text has FINGERPRINTS fingerprints of 64 bits from
+different hashes of its shingles, and texts that share a Golay key of one of
+them (simhash.join_keys) are candidates. At similarity 0.8 two fingerprints
+lie about ten of 64 bits apart, so a key of one is shared by a tenth of such
+pairs only, and several are taken. The exact similarity of the shingle sets
+decides. What those keys do not join is the rest that bands of MinHash values
+go through: BANDS of ROWS values each miss a pair with probability
+(1 - s ** ROWS) ** BANDS, at most MISS; no other step leaves a pair out.
 """
 
 from __future__ import annotations
@@ -23,6 +25,8 @@ from .common import KEY, bounded_batches, key_filter, with_row_key, written
 from .components import components
 from .decontaminate import hashes
 
+#: Fingerprints of a text, and shingles whose bits are added at a time (as bytes).
+FINGERPRINTS, ADDED = 12, 255
 ROWS, MISS = 4, 1e-6
 #: Shingles hashed at a time, which bounds memory for very long texts.
 CHUNK = 512
@@ -60,6 +64,43 @@ class Family:
         return (keys * np.uint64(self.bands) + np.arange(self.bands, dtype=np.uint64)).view(np.int64)
 
 
+class Fingerprints:
+    """SimHash fingerprints of a shingle set: a bit is set if it is in over half of the hashes, as in simhash.fingerprint."""
+
+    def __init__(self, count: int):
+        rng = np.random.default_rng(43)
+        self.xor = rng.integers(0, 1 << 64, count, dtype=np.uint64)
+        self.odd = rng.integers(0, 1 << 64, count, dtype=np.uint64) | np.uint64(1)
+
+    def of(self, shingles: np.ndarray) -> np.ndarray:
+        sums = np.zeros(64 * len(self.odd), dtype=np.int64)
+        for at in range(0, len(shingles), ADDED):
+            h = (shingles[at : at + ADDED, None] ^ self.xor) * self.odd
+            h ^= h >> np.uint64(32)
+            h *= np.uint64(0xC2B2AE3D27D4EB4F)
+            h ^= h >> np.uint64(29)
+            sums += np.unpackbits(h.view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.uint8)
+        return np.packbits(sums * 2 > len(shingles), bitorder="little").view(np.int64)
+
+
+def golay_keyed(reps: DataFrame) -> DataFrame:
+    """d, n, key: the Golay keys of each fingerprint in fps, its number included."""
+    from .simhash import golay_tables, join_keys
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tables = golay_tables()
+        for b in batches:
+            fps = b.column("fps").flatten().to_numpy().view(np.uint64)
+            if not len(fps):
+                continue
+            each = len(fps) // len(b)
+            rows, keys = join_keys(fps, tables)
+            out = b.select(["d", "n"]).take(pa.array(rows // each))
+            yield pa.RecordBatch.from_arrays([*out.columns, pa.array(keys | (rows % each).astype(np.int64) << 42)], names=["d", "n", "key"])
+
+    return reps.select("d", "n", "fps").transform(bounded_batches).mapInArrow(run, "d binary, n int, key bigint")
+
+
 def shingle_set(text: bytes | None, shingle: int = 5) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the shingles; A-Z are lower-cased, white space is that of ASCII.
 
@@ -77,15 +118,15 @@ def _texts(documents: DataFrame) -> DataFrame:
 
 
 def sketches(documents: DataFrame, *, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
-    """KEY, doc_id, d (digest of the shingle set), n (its size), keys of each row."""
+    """KEY, doc_id, d (digest of the shingle set), n (its size), fps (fingerprints), keys (of MinHash bands) of each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        family = Family(bands_for(similarity))
+        family, prints = Family(bands_for(similarity)), Fingerprints(FINGERPRINTS)
         for b in batches:
             sets = [shingle_set(t, shingle) for t in b.column(4).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(map(digest, sets), pa.binary()), pa.array(map(len, sets), pa.int32()), pa.array(map(family.keys, sets), pa.list_(pa.int64()))], names=[*KEY, "doc_id", "d", "n", "keys"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(map(digest, sets), pa.binary()), pa.array(map(len, sets), pa.int32()), pa.array(map(prints.of, sets), pa.list_(pa.int64())), pa.array(map(family.keys, sets), pa.list_(pa.int64()))], names=[*KEY, "doc_id", "d", "n", "fps", "keys"])
 
-    return _texts(documents).transform(bounded_batches).mapInArrow(run, ", ".join(f"{c} bigint" for c in (*KEY, "doc_id")) + ", d binary, n int, keys array<bigint>")
+    return _texts(documents).transform(bounded_batches).mapInArrow(run, ", ".join(f"{c} bigint" for c in (*KEY, "doc_id")) + ", d binary, n int, fps array<bigint>, keys array<bigint>")
 
 
 def sets_of(documents: DataFrame, wanted: DataFrame, *, shingle: int = 5) -> DataFrame:
@@ -181,33 +222,49 @@ def joined(members: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return units.join(sets, "d").groupBy("key", "i", "j").applyInArrow(unit, "a binary, b binary").distinct()
 
 
-def links(documents: DataFrame, rows: DataFrame, *, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
-    """Edges (a, b) of digests: enough of the links between texts alike that components are exact.
-
-    rows: the written sketches. Keys of the same members count once. Members
-    of a key are first compared with the one that is in most keys: of a text
-    and its copies mostly the text, so clusters cost a comparison a member.
-    In keys that hold more than one component still, all members meet in
-    blocks. What that costs a member grows with the members that are nearly
-    but not alike, as such pairs cannot be told without looking at them; no
-    pair is emitted for it.
-    """
-    reps = written(rows.groupBy("d").agg(F.min(F.struct(*KEY)).alias("k"), F.first("n").alias("n"), F.first("keys").alias("keys")), "near-reps")
-    keyed = reps.select("d", "n", F.explode("keys").alias("key"))
+def shared_keys(keyed: DataFrame) -> DataFrame:
+    """The rows (d, n, key) of keys that several have; keys of the same members count once."""
     # Most keys are of one member: only keys are shuffled to find the others, and only their members go on.
     several = written(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("key"), "near-several")
-    met = written(keyed.where(key_filter(several)(F.col("key"))).join(several, "key"), "near-met")
+    met = written(keyed.where(key_filter(several)(F.col("key"))).join(several, "key").select("d", "n", "key"), "near-met")
     marks = met.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.bit_xor(F.xxhash64("d")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), F.col("d"))).alias("y"))
     once = written(marks.groupBy("c", "x", "y").agg(F.min("key").alias("key")).select("key"), "near-once")
-    shared = written(met.join(once, "key"), "near-keys")
-    wanted = reps.select("d", "k.*").join(shared.select("d").distinct(), "d").select(*KEY)
-    sets = written(sets_of(documents, wanted, shingle=shingle), "near-sets")
+    return written(met.join(once, "key").select("d", "n", "key"), "near-keys")
+
+
+def stars(shared: DataFrame, similarity: float) -> DataFrame:
+    """Candidates (a, b): members of a key and the one of them that is in most keys, where their sizes allow the similarity."""
     fits = _alike(F.least("n", "m"), F.col("n"), F.col("m"), similarity)  # the smaller set is the most they can share
     often = shared.groupBy("d").agg(F.count(F.lit(1)).alias("often"))
     centres = shared.join(often, "d").groupBy("key").agg(F.max(F.struct("often", "d", "n")).alias("first"))
-    stars = shared.join(centres, "key").select(F.col("d").alias("a"), "n", F.col("first.d").alias("b"), F.col("first.n").alias("m"))
-    pairs = written(stars.where("a <> b").where(fits).select("a", "b").distinct(), "near-pairs")
-    edges = written(verified(pairs, sets, similarity), "near-edges")
+    out = shared.join(centres, "key").select(F.col("d").alias("a"), "n", F.col("first.d").alias("b"), F.col("first.n").alias("m"))
+    return out.where("a <> b").where(fits).select("a", "b").distinct()
+
+
+def links(documents: DataFrame, rows: DataFrame, *, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """Edges (a, b) of digests: enough of the links between texts alike that components are exact.
+
+    rows: the written sketches. Members of a key are compared with the one
+    that is in most keys: of a text and its copies mostly the text, so
+    clusters cost a comparison a member. Golay keys of the fingerprints come
+    first. MinHash keys are for the rest: candidates that SimHash has joined
+    are not compared again, and in keys that hold more than one component
+    still, all members meet in blocks. What that costs a member grows with the
+    members that are nearly but not alike, as such pairs cannot be told
+    without looking at them; no pair is emitted for it.
+    """
+    reps = written(rows.groupBy("d").agg(F.min(F.struct(*KEY)).alias("k"), F.first("n").alias("n"), F.first("fps").alias("fps"), F.first("keys").alias("keys")), "near-reps")
+    golay = shared_keys(golay_keyed(reps.where("n > 0")))
+    shared = shared_keys(reps.select("d", "n", F.explode("keys").alias("key")))
+    wanted = reps.select("d", "k.*").join(golay.select("d").union(shared.select("d")).distinct(), "d").select(*KEY)
+    sets = written(sets_of(documents, wanted, shingle=shingle), "near-sets")
+    edges = written(verified(written(stars(golay, similarity), "near-pairs"), sets, similarity), "simhash-edges")
+    of = written(components(edges).select(F.col("node").alias("d"), "component"), "simhash-components")
+    rest = stars(shared, similarity)
+    for x in "ab":
+        rest = rest.join(of.select(F.col("d").alias(x), F.col("component").alias(f"c{x}")), x, "left")
+    rest = written(rest.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b"), "near-rest")
+    edges = edges.unionByName(written(verified(rest, sets, similarity), "near-edges"))
     now = shared.join(components(edges).withColumnRenamed("node", "d"), "d", "left").select("key", "d", "n", F.coalesce("component", "d").alias("component"))
     now = written(now, "near-placed")
     mixed = written(now.join(now.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key"), "key"), "near-mixed")
