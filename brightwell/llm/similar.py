@@ -27,6 +27,10 @@ from .decontaminate import hashes
 
 #: Fingerprints of a text, and shingles whose bits are added at a time (as bytes).
 FINGERPRINTS, ADDED = 12, 255
+#: Golay keys of a fingerprint, about; what spreads them over 64 bits (odd, so that no two become one).
+GOLAY_KEYS, SPREAD = 16, np.uint64(0x9E3779B97F4A7C15)
+#: Keys of a bucket that a task sorts at a time, about, and keys that a worker holds before it sends them to buckets.
+BUCKET_KEYS, HELD_KEYS = 1 << 18, 1 << 20
 ROWS, MISS = 4, 1e-6
 #: Shingles hashed at a time, which bounds memory for very long texts.
 CHUNK = 512
@@ -83,22 +87,25 @@ class Fingerprints:
         return np.packbits(sums * 2 > len(shingles), bitorder="little").view(np.int64)
 
 
-def golay_keyed(reps: DataFrame) -> DataFrame:
-    """d, n, key: the Golay keys of each fingerprint in fps, its number included."""
+def golay_keyer():
+    """What gives row numbers of a batch and the Golay keys of their fps, the fingerprint's number included."""
     from .simhash import golay_tables, join_keys
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables = golay_tables()
-        for b in batches:
-            fps = b.column("fps").flatten().to_numpy().view(np.uint64)
-            if not len(fps):
-                continue
-            each = len(fps) // len(b)
-            rows, keys = join_keys(fps, tables)
-            out = b.select(["d", "n"]).take(pa.array(rows // each))
-            yield pa.RecordBatch.from_arrays([*out.columns, pa.array(keys | (rows % each).astype(np.int64) << 42)], names=["d", "n", "key"])
+    tables = golay_tables()
+
+    def of(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+        fps = b.column("fps").flatten().to_numpy().view(np.uint64)
+        rows, keys = join_keys(fps, tables)
+        each = max(1, len(fps) // max(1, len(b)))
+        keys |= (rows % each).astype(np.int64) << 42
+        return rows // each, (keys.view(np.uint64) * SPREAD).view(np.int64)
+
+    return of
 
-    return reps.select("d", "n", "fps").transform(bounded_batches).mapInArrow(run, "d binary, n int, key bigint")
+
+def band_keyer():
+    """What gives row numbers of a batch and their MinHash keys."""
+    return lambda b: (np.repeat(np.arange(len(b)), b.column("keys").value_lengths().to_numpy()), b.column("keys").flatten().to_numpy())
 
 
 def shingle_set(text: bytes | None, shingle: int = 5) -> np.ndarray:
@@ -222,11 +229,62 @@ def joined(members: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return units.join(sets, "d").groupBy("key", "i", "j").applyInArrow(unit, "a binary, b binary").distinct()
 
 
-def shared_keys(keyed: DataFrame) -> DataFrame:
-    """The rows (d, n, key) of keys that several have; keys of the same members count once."""
-    # Most keys are of one member: only keys are shuffled to find the others, and only their members go on.
-    several = written(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("key"), "near-several")
-    met = written(keyed.where(key_filter(several)(F.col("key"))).join(several, "key").select("d", "n", "key"), "near-met")
+def several_keys(reps: DataFrame, keyer, each: int) -> DataFrame:
+    """key: those that several rows have, once each. reps: written; each: keys of a row, about.
+
+    Most keys are of one row, so to count them by partial aggregates would
+    fill a table in memory with all of a task's keys. A worker sorts HELD_KEYS
+    at a time, keeps at most two of one key, and sends them to buckets by
+    their first bits as packed numbers; a bucket is sorted again in its task.
+    """
+    bits = max(1, (reps.count() * each // BUCKET_KEYS).bit_length())
+    shift = np.uint64(64 - bits)
+
+    def sent(held: list[np.ndarray]) -> pa.RecordBatch:
+        h = np.sort(np.concatenate(held).view(np.uint64))
+        new = np.ones(len(h), dtype=bool)
+        new[2:] = h[2:] != h[:-2]
+        h = h[new]
+        at = np.searchsorted(h >> shift, np.arange((1 << bits) + 1, dtype=np.uint64))
+        full = np.flatnonzero(np.diff(at))
+        ends = (np.append(at[full], len(h)) * 8).astype(np.int32)
+        parts = pa.Array.from_buffers(pa.binary(), len(full), [None, pa.py_buffer(ends), pa.py_buffer(h)])
+        return pa.RecordBatch.from_arrays([pa.array(full.astype(np.int32)), parts], names=["bucket", "part"])
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys_of, held, n = keyer(), [], 0
+        for b in batches:
+            held.append(keys_of(b)[1])
+            n += len(held[-1])
+            if n >= HELD_KEYS:
+                yield sent(held)
+                held, n = [], 0
+        if n:
+            yield sent(held)
+
+    def meet(bucket: pa.Table) -> pa.Table:
+        h = np.sort(np.frombuffer(b"".join(bucket.column("part").to_pylist()), dtype=np.int64))
+        return pa.table({"key": np.unique(h[1:][h[1:] == h[:-1]])})
+
+    return reps.transform(bounded_batches).mapInArrow(deal, "bucket int, part binary").groupBy("bucket").applyInArrow(meet, "key bigint")
+
+
+def shared_keys(reps: DataFrame, keyer, each: int) -> DataFrame:
+    """The rows (d, n, key) of keys that several have; keys of the same members count once. reps: written."""
+    # Only keys are shuffled to find those that several have, and only their members leave the workers.
+    several = written(several_keys(reps, keyer, each), "near-several")
+    known = key_filter(several)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys_of = keyer()
+        for b in batches:
+            rows, keys = keys_of(b)
+            hit = known.holds(keys)
+            out = b.select(["d", "n"]).take(pa.array(rows[hit]))
+            yield pa.RecordBatch.from_arrays([*out.columns, pa.array(keys[hit])], names=["d", "n", "key"])
+
+    keyed = reps.transform(bounded_batches).mapInArrow(run, "d binary, n int, key bigint")
+    met = written(keyed.join(several, "key").select("d", "n", "key"), "near-met")
     marks = met.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.bit_xor(F.xxhash64("d")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), F.col("d"))).alias("y"))
     once = written(marks.groupBy("c", "x", "y").agg(F.min("key").alias("key")).select("key"), "near-once")
     return written(met.join(once, "key").select("d", "n", "key"), "near-keys")
@@ -254,8 +312,8 @@ def links(documents: DataFrame, rows: DataFrame, *, shingle: int = 5, similarity
     without looking at them; no pair is emitted for it.
     """
     reps = written(rows.groupBy("d").agg(F.min(F.struct(*KEY)).alias("k"), F.first("n").alias("n"), F.first("fps").alias("fps"), F.first("keys").alias("keys")), "near-reps")
-    golay = shared_keys(golay_keyed(reps.where("n > 0")))
-    shared = shared_keys(reps.select("d", "n", F.explode("keys").alias("key")))
+    golay = shared_keys(reps.where("n > 0").select("d", "n", "fps"), golay_keyer, FINGERPRINTS * GOLAY_KEYS)
+    shared = shared_keys(reps.select("d", "n", "keys"), band_keyer, bands_for(similarity))
     wanted = reps.select("d", "k.*").join(golay.select("d").union(shared.select("d")).distinct(), "d").select(*KEY)
     sets = written(sets_of(documents, wanted, shingle=shingle), "near-sets")
     edges = written(verified(written(stars(golay, similarity), "near-pairs"), sets, similarity), "simhash-edges")
