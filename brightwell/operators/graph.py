@@ -182,7 +182,8 @@ def messages(nodes: DataFrame, adj: DataFrame, *, k: int = 128) -> tuple[DataFra
 
     Nodes are dealt into blocks by stretches of ids, as many as a task holds
     sketches of in BLOCK_BYTES, and a node sends its sketch once to each block
-    where it has neighbours, itself included (own, for nodes only).
+    where it has neighbours, itself included (own, for nodes only). Links of
+    unknown ids send nothing.
     """
     n = nodes.count()
     blocks = max(math.ceil(4 * k * n / BLOCK_BYTES), nodes.sparkSession.sparkContext.defaultParallelism)
@@ -191,8 +192,9 @@ def messages(nodes: DataFrame, adj: DataFrame, *, k: int = 128) -> tuple[DataFra
     links = adj.select(F.col("dst").cast("bigint").alias("id"), F.col("src").cast("bigint").alias("src")).where("id is not null and src is not null")
     # Dealt by the sender alone first: lists are made after the one shuffle of the links, not sent in pieces.
     near = links.repartition("id").groupBy("id", block("src").alias("block")).agg(F.collect_list("src").alias("receivers"))
-    own = nodes.select(F.col("id").cast("bigint").alias("id")).where("id is not null").distinct()
-    own = own.select("id", block("id").alias("block"), F.lit(True).alias("own"), F.array("id").alias("receivers"))
+    known = nodes.select(F.col("id").cast("bigint").alias("id")).where("id is not null").distinct()
+    near = near.join(known.hint("merge"), "id", "left_semi")
+    own = known.select("id", block("id").alias("block"), F.lit(True).alias("own"), F.array("id").alias("receivers"))
     return near.select("id", "block", F.lit(False).alias("own"), "receivers").unionByName(own), blocks
 
 
@@ -209,7 +211,10 @@ def sketches(nodes: DataFrame, adj: DataFrame, *, hops: int = 2, family: Sequenc
     Hop 0 hashes the node itself; each hop takes the minimum over the node
     and its neighbours. Sketches are sent by block, not by edge, and minima are
     taken in the task that holds the block: a hop shuffles the links and, of
-    each sketch, as many copies as there are blocks at most.
+    each sketch, as many copies as there are blocks at most. Those of hop 0 are
+    made from the ids where they are needed. All joins are merges: sizes of
+    sketches are guessed from the ids alone, and a broadcast would gather them
+    in the driver.
     """
     family = hash_family(128) if family is None else family
     k, spark = len(family), nodes.sparkSession
@@ -223,7 +228,7 @@ def sketches(nodes: DataFrame, adj: DataFrame, *, hops: int = 2, family: Sequenc
         for b in batches:
             lists = b.column("receivers")
             to, lengths = lists.flatten().to_numpy(zero_copy_only=False), lists.value_lengths().to_numpy(zero_copy_only=False)
-            held.add(_unpacked(b.column("s"), k), lengths, to)
+            held.add(_unpacked(b.column("s"), k) if "s" in b.schema.names else _own_hashes(b.column("id").to_numpy(), family), lengths, to)
             nodes_ = np.unique(b.column("id").filter(b.column("own")).to_numpy())
             held.own[held.places(nodes_)] = True
         at = held.at[held.own[held.at]]
@@ -235,9 +240,9 @@ def sketches(nodes: DataFrame, adj: DataFrame, *, hops: int = 2, family: Sequenc
     with temporary(spark):
         sent, blocks = messages(nodes, adj, k=k)
         sent, task = written(sent, "messages"), _a_task_each(spark, blocks)  # read at each hop
-        for _ in range(hops):
-            dealt = sent.join(out[-1], "id").select("id", "block", "own", "receivers", "s").repartition(blocks, task)
-            out.append(written(dealt.mapInArrow(least, "id bigint, s binary"), "sketches", keep=True))
+        for hop in range(hops):
+            dealt = sent.join(out[-1].hint("merge"), "id").select("id", "block", "own", "receivers", "s") if hop else sent
+            out.append(written(dealt.repartition(blocks, task).mapInArrow(least, "id bigint, s binary"), "sketches", keep=True))
     return out
 
 
@@ -257,7 +262,7 @@ def minhash(nodes: DataFrame, adj: DataFrame, *, hops: int = 2, family: Sequence
 
     rows = nodes.select("id")
     for hop, s in enumerate(sketches(nodes, adj, hops=hops, family=family)):
-        rows = rows.join(s.withColumnRenamed("s", f"s{hop}"), "id", "left")
+        rows = rows.join(s.withColumnRenamed("s", f"s{hop}").hint("merge"), "id", "left")
     return rows.mapInArrow(numbers, f"id {nodes.schema['id'].dataType.simpleString()}, " + ", ".join(f"{c} bigint" for c in names[1:]))
 
 
@@ -272,7 +277,8 @@ def _cardinality(sketches: np.ndarray) -> np.ndarray:
 def sketch_features(sketches: Sequence[DataFrame], pairs: DataFrame, family: Sequence[tuple[int, int]]) -> DataFrame:
     """c11, c12, c21, c22, i22, lcard2_i, lcard2_j of each pair, by inclusion and exclusion of hop intersections.
 
-    sketches: of hops 0, 1 and 2; those of hop 0 are made anew from the ids instead of being sent.
+    sketches: of hops 0, 1 and 2; those of hop 0 are made anew from the ids instead of being sent. Neither pairs nor
+    sketches are broadcast, as either grows with the nodes.
     """
     k, names = len(family), ["c11", "c12", "c21", "c22", "i22", "card_u2", "card_v2"]
 
@@ -288,10 +294,11 @@ def sketch_features(sketches: Sequence[DataFrame], pairs: DataFrame, family: Seq
             cells = [np.maximum(i[p, q] - i[p - 1, q] - i[p, q - 1] + i[p - 1, q - 1], 0.0) for p in (1, 2) for q in (1, 2)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *map(pa.array, [*cells, i[2, 2], cu[2], cv[2]])], names=["u", "v", *names])
 
-    both = sketches[1].withColumnRenamed("s", "s1").join(sketches[2].withColumnRenamed("s", "s2"), "id")
-    ends = pairs.select(F.col("u").cast("bigint").alias("u"), F.col("v").cast("bigint").alias("v"))
+    both = sketches[1].withColumnRenamed("s", "s1").join(sketches[2].withColumnRenamed("s", "s2").hint("merge"), "id")
+    # Written, so that no condition on pairs reaches the sketches: both ends read one shuffle of them.
+    ends = written(pairs.select(F.col("u").cast("bigint").alias("u"), F.col("v").cast("bigint").alias("v")), "pairs")
     for x in "uv":
-        ends = ends.join(both.select(F.col("id").alias(x), F.col("s1").alias(f"{x}1"), F.col("s2").alias(f"{x}2")), x)
+        ends = ends.join(both.select(F.col("id").alias(x), F.col("s1").alias(f"{x}1"), F.col("s2").alias(f"{x}2")).hint("merge"), x)
     out = ends.select("u", "v", "u1", "u2", "v1", "v2").mapInArrow(features, "u bigint, v bigint, " + ", ".join(f"{c} double" for c in names))
     return out.select("u", "v", "c11", "c12", "c21", "c22", "i22", F.log1p("card_u2").alias("lcard2_i"), F.log1p("card_v2").alias("lcard2_j"))
 

@@ -53,3 +53,18 @@ def test_blocks_against_brute_force(spark, block_bytes, monkeypatch):
 
 def test_full_features_against_sql(spark):
     compare(QUERIES["sketch_features_full"](spark, DATA), connect(DATA), ORACLE_SQL["sketch_features_full"])
+
+
+@pytest.mark.parametrize("name", ["sketch_features_full", "sketch_features", "minhash_sketch"])
+def test_nothing_that_grows_with_nodes_is_broadcast(spark, name):
+    """Sizes of sketches are guessed from the ids, so a broadcast of 1.2 million of them took 600 MB to the driver."""
+    executions = lambda: spark._jsparkSession.sharedState().statusStore().executionsList()
+    waited = spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty
+    waited()
+    before = executions().apply(executions().size() - 1).executionId() if executions().size() else -1
+    QUERIES[name](spark, DATA).write.format("noop").mode("overwrite").save()
+    waited()
+    ran = [e for k in range(executions().size()) if (e := executions().apply(k)).executionId() > before]
+    plans = [e.physicalPlanDescription() for e in ran]
+    assert any("SortMergeJoin" in p for p in plans)
+    assert not any("BroadcastExchange" in p for p in plans)
