@@ -48,6 +48,13 @@ def hash_family(k: int, seed: int = 1) -> list[tuple[int, int]]:
 MAX_GROUP = 10_000
 
 
+def _groups(rows: DataFrame, group: str, item: str, max_group: int) -> DataFrame:
+    """(items): the sorted different items of each group."""
+    sets = rows.where(F.col(group).isNotNull() & F.col(item).isNotNull()).groupBy(F.col(group).alias("g")).agg(F.collect_set(item).alias("items"))
+    message = F.format_string(f"a group of %d items, more than {max_group}", F.size("items"))
+    return sets.select(F.when(F.size("items") > max_group, F.raise_error(message)).otherwise(F.array_sort("items")).alias("items"))
+
+
 def co_occurrence(rows: DataFrame, group: str, item: str, *, max_group: int = MAX_GROUP) -> DataFrame:
     """Undirected edges (src < dst, w): items that share a group, w groups in common.
 
@@ -55,14 +62,18 @@ def co_occurrence(rows: DataFrame, group: str, item: str, *, max_group: int = MA
     max_group different items is an error, not a plan that never ends. One
     shuffle by group gathers its items, pairs are streamed from the array.
     """
-    sets = rows.where(F.col(group).isNotNull() & F.col(item).isNotNull()).groupBy(F.col(group).alias("g")).agg(F.collect_set(item).alias("items"))
-    message = F.format_string(f"a group of %d items, more than {max_group}", F.size("items"))
-    sets = sets.select(F.when(F.size("items") > max_group, F.raise_error(message)).otherwise(F.array_sort("items")).alias("items"))
+    sets = _groups(rows, group, item, max_group)
     firsts = sets.select("items", F.posexplode("items").alias("at", "src")).select("src", F.slice("items", F.col("at") + 2, F.size("items")).alias("rest"))
     pairs = firsts.select("src", F.explode("rest").alias("dst"))
     return pairs.groupBy("src", "dst").agg(F.count(F.lit(1)).cast("double").alias("w"))
 
 
+def co_occurrence_links(rows: DataFrame, group: str, item: str, *, max_group: int = MAX_GROUP) -> DataFrame:
+    """The edges of co_occurrence in both directions (src, dst), repeated for each group and not shuffled: for minima, which repeats leave as they are."""
+    ends = _groups(rows, group, item, max_group).select("items", F.explode("items").alias("src"))
+    return ends.select("src", F.explode("items").alias("dst")).where("src <> dst")
+
+
 def canonical_edges(edges: DataFrame) -> DataFrame:
     """Distinct undirected edges (src < dst) without self-loops."""
     return edges.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).where("src <> dst").distinct()
@@ -190,8 +201,8 @@ def messages(nodes: DataFrame, adj: DataFrame, *, k: int = 128) -> tuple[DataFra
     width = math.ceil(n / blocks) | 1
     block = lambda c: F.expr(f"pmod({c} div {width}, {blocks})")
     links = adj.select(F.col("dst").cast("bigint").alias("id"), F.col("src").cast("bigint").alias("src")).where("id is not null and src is not null")
-    # Dealt by the sender alone first: lists are made after the one shuffle of the links, not sent in pieces.
-    near = links.repartition("id").groupBy("id", block("src").alias("block")).agg(F.collect_list("src").alias("receivers"))
+    # Dealt by the sender alone first: lists are made after the one shuffle of the links, not sent in pieces. Sets, as links may repeat.
+    near = links.repartition("id").groupBy("id", block("src").alias("block")).agg(F.collect_set("src").alias("receivers"))
     known = nodes.select(F.col("id").cast("bigint").alias("id")).where("id is not null").distinct()
     near = near.join(known.hint("merge"), "id", "left_semi")
     own = known.select("id", block("id").alias("block"), F.lit(True).alias("own"), F.array("id").alias("receivers"))

@@ -131,7 +131,7 @@ _LONG_SAMES = ", ".join(f"sum((a.s{p} = b.s{q})::INTEGER) / 128.0::DOUBLE AS j{p
     SELECT u, v, {_CELLS}, round(i22, 6) AS i22, round(ln(1 + cu2), 6) AS lcard2_i, round(ln(1 + cv2), 6) AS lcard2_j FROM t"""
 )
 def sketch_features_full(spark, sf):
-    links = graph.symmetrize(part_edges(spark, sf))  # each once, as in the adjacency, without another shuffle of them
+    links = graph.co_occurrence_links(read(spark, sf, "lineitem"), "l_orderkey", "l_partkey")
     sketches = graph.sketches(part_nodes(spark, sf), links, hops=2, family=_FULL)
     return rounded(graph.sketch_features(sketches, part_pairs(spark, sf), _FULL))
 

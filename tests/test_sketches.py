@@ -68,3 +68,13 @@ def test_nothing_that_grows_with_nodes_is_broadcast(spark, name):
     plans = [e.physicalPlanDescription() for e in ran]
     assert any("SortMergeJoin" in p for p in plans)
     assert not any("BroadcastExchange" in p for p in plans)
+
+
+def test_links_are_the_edges_both_ways(spark):
+    """Repeated for each group, without an aggregate of pairs; the limit of a group holds."""
+    rows = spark.createDataFrame([(1, 5), (1, 7), (1, 5), (2, 5), (2, 7), (2, -3), (3, 9), (None, 4), (4, None)], "g bigint, i bigint")
+    got = sorted((r["src"], r["dst"]) for r in graph.co_occurrence_links(rows, "g", "i").collect())
+    edges = [(r["src"], r["dst"]) for r in graph.co_occurrence(rows, "g", "i").collect() for _ in range(int(r["w"]))]
+    assert got == sorted([*edges, *((b, a) for a, b in edges)]) and len(got) == 8
+    with pytest.raises(Exception, match="a group of 3 items, more than 2"):
+        graph.co_occurrence_links(rows, "g", "i", max_group=2).collect()
